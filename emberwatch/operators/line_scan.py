@@ -6,6 +6,8 @@ shuffle, however uneven the snippets or their copies are.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,30 +53,47 @@ def command_lines(code: Column) -> Column:
     return F.filter(numbered_lines(code), lambda x: (x["text"] != "") & ~F.startswith(x["text"], F.lit("#")))
 
 
-def _rule_finding(rule: LineRule, index: int, part: int, line: Column) -> Column:
-    message = rule.message if rule.lang == "bash" else f"[{rule.lang}] {rule.message}"
-    fields = {
-        "part": F.lit(part), "at_line": line["line"], "stage": F.lit(0), "item": F.lit(index),
-        "seq": F.lit(0), "sub": F.lit(0),
-        "line": line["line"], "col": F.lit(0),
-        "severity": F.lit(rule.severity), "sev_rank": F.lit(SEVERITY_RANK[rule.severity]),
-        "leak_type": F.lit("char_extraction"), "message": F.lit(message),
-        "code_snippet": line["text"], "tainted_var": F.lit(""), "lang": F.lit(rule.lang),
-    }
-    hit = F.contains(line["text"], F.lit(rule.needles[0]))
-    for needle in rule.needles[1:]:
-        hit = hit | F.contains(line["text"], F.lit(needle))
-    hit = hit & F.rlike(line["text"], F.lit(unicode_regex(rule.pattern)))
-    return F.when(hit, F.struct(*[c.alias(n) for n, c in fields.items()]))
+def _rule_table(rules: list[LineRule]) -> Column:
+    """What rules report, as one literal array indexed by rule."""
+    rows = [
+        {
+            "severity": r.severity, "sev_rank": SEVERITY_RANK[r.severity], "lang": r.lang,
+            "message": r.message if r.lang == "bash" else f"[{r.lang}] {r.message}",
+        }
+        for r in rules
+    ]
+    return F.from_json(
+        F.lit(json.dumps(rows)), "array<struct<severity:string,sev_rank:int,lang:string,message:string>>"
+    )
+
+
+def _matching_rules(text: Column, rules: list[LineRule]) -> Column:
+    """Indexes of the rules a line matches; each pattern is a literal, compiled once per task."""
+    hits = [
+        F.when(contains_any(text, r.needles) & F.rlike(text, F.lit(unicode_regex(r.pattern))), F.lit(i))
+        for i, r in enumerate(rules)
+    ]
+    return F.array_compact(F.array(*hits))
 
 
 def _apply_rules(lines: Column, rules: list[LineRule], needles: list[str], part: int) -> Column:
     candidates = F.filter(lines, lambda x: contains_any(x["text"], needles))
-    per_line = F.transform(
-        candidates,
-        lambda x: F.array_compact(F.array(*[_rule_finding(r, i, part, x) for i, r in enumerate(rules)])),
+    matched = F.filter(
+        F.transform(candidates, lambda x: F.struct(x.alias("at"), _matching_rules(x["text"], rules).alias("rules"))),
+        lambda x: F.size(x["rules"]) > 0,
     )
-    return F.flatten(per_line)
+
+    def finding(index: Column, at: Column) -> Column:
+        rule = F.get(_rule_table(rules), index)
+        fields = {
+            "part": F.lit(part), "at_line": at["line"], "stage": F.lit(0), "item": index,
+            "seq": F.lit(0), "sub": F.lit(0), "line": at["line"], "col": F.lit(0),
+            "severity": rule["severity"], "sev_rank": rule["sev_rank"], "leak_type": F.lit("char_extraction"),
+            "message": rule["message"], "code_snippet": at["text"], "tainted_var": F.lit(""), "lang": rule["lang"],
+        }
+        return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+    return F.flatten(F.transform(matched, lambda x: F.transform(x["rules"], lambda i: finding(i, x["at"]))))
 
 
 def bash_findings(code: Column) -> Column:

@@ -49,26 +49,11 @@ def extract(snippets: DataFrame, languages: Column | None = None) -> DataFrame:
     # The one-element explode keeps the optimiser from merging the lambdas above into the UDF call,
     # where Spark 4.1 fails to extract it; it neither adds nor drops rows.
     fenced = lines.withColumn("_texts", F.explode(F.array(texts)))
-    return fenced.withColumn("_facts", extract_facts(F.col("_texts"))).drop("_texts")
-
-
-def _embedded(bodies: Column, facts: Column) -> Column:
-    """Findings of Python bodies on shell lines, relabelled and moved to the shell line."""
-
-    def relabel(f: Column, body: Column) -> Column:
-        return (
-            f.withField("at_line", body["line"]).withField("line", body["line"]).withField("item", body["item"])
-            .withField("message", F.concat(F.lit("[embedded python] "), f["message"]))
-        )
-
-    per_body = F.zip_with(
-        bodies,
-        facts,
-        lambda body, fact: F.transform(
-            use_findings(fact["visits"], taints(fact["visits"], _no_names())), lambda f: relabel(f, body)
-        ),
+    return (
+        fenced.withColumn("_facts", extract_facts(F.col("_texts")))
+        .withColumn("_places", F.transform("_bodies", lambda b: F.struct(b["line"], b["item"])))
+        .drop("_texts", "_bodies")
     )
-    return F.when(F.size(bodies) > 0, F.flatten(per_body)).otherwise(F.array().cast(FINDINGS))
 
 
 def judge(extracted: DataFrame) -> DataFrame:
@@ -80,33 +65,47 @@ def judge(extracted: DataFrame) -> DataFrame:
     policy = F.col("policy")
     enabled = policy["enabled"]
     langs = policy["languages"]
-    python = enabled & (F.col("language") == "python") & F.array_contains(langs, "python") & F.col("_facts")[0]["ok"]
+    python = enabled & (F.col("language") == "python") & F.array_contains(langs, "python")
     bash = enabled & (F.col("language") == "bash") & F.array_contains(langs, "bash")
     nothing = F.array().cast(FINDINGS)
+    # Parsed texts with the place their findings belong to: the snippet itself (line 0), or the
+    # Python bodies on its shell lines (L5), which ignore the policy's extra names.
+    whole = F.array(F.struct(F.lit(0).alias("line"), F.lit(0).alias("item")))
     traced = extracted.withColumn(
-        "_known",
-        F.when(F.coalesce(python, F.lit(False)), taints(F.get("_facts", F.lit(0))["visits"], policy["extra_sources"])),
+        "_traces",
+        F.zip_with(
+            F.when(python, whole).when(bash, F.col("_places")).otherwise(F.slice("_places", 1, 0)),
+            F.when(python | bash, F.col("_facts")).otherwise(F.slice("_facts", 1, 0)),
+            lambda place, fact: F.struct(
+                place.alias("place"), fact["visits"].alias("visits"),
+                taints(
+                    fact["visits"],
+                    F.when((place["line"] == 0) & fact["ok"], policy["extra_sources"]).otherwise(_no_names()),
+                ).alias("known"),
+            ),
+        ),
     )
     found = traced.withColumn(
         "findings",
         F.sort_array(
             F.concat(
-                F.when(F.col("_known").isNotNull(), use_findings(F.get("_facts", F.lit(0))["visits"], F.col("_known")))
-                .otherwise(nothing),
-                F.when(bash, F.concat(F.col("_rule_hits"), _embedded(F.col("_bodies"), F.col("_facts"))))
-                .otherwise(nothing),
+                F.flatten(F.transform("_traces", lambda t: use_findings(t["visits"], t["known"], t["place"]))),
+                F.when(bash, F.col("_rule_hits")).otherwise(nothing),
                 F.when(enabled, pick_languages(F.col("_multi_hits"), langs)).otherwise(nothing),
             )
         ),
     )
     kept = found.withColumn("findings", meets_threshold(F.col("findings"), policy["min_rank"]))
     verdict = (
-        kept.withColumn("tainted_vars", F.coalesce(F.sort_array(F.col("_known")["names"]), _no_names()))
+        kept.withColumn(
+            "tainted_vars",
+            F.coalesce(F.when(python, F.sort_array(F.get("_traces", F.lit(0))["known"]["names"])), _no_names()),
+        )
         .withColumn("n_findings", F.size("findings").cast("bigint"))
         .withColumn("max_severity", max_severity(F.col("findings")))
         .withColumn("blocked", is_blocked(F.col("findings"), policy["mode"]))
     )
-    return verdict.drop("_rule_hits", "_multi_hits", "_bodies", "_facts", "_known")
+    return verdict.drop("_rule_hits", "_multi_hits", "_places", "_facts", "_traces")
 
 
 def scan(snippets: DataFrame, policy: Policy | None = None) -> DataFrame:

@@ -9,10 +9,10 @@ the names it mentions was tainted before it. Snippets never meet, so nothing is
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.rules import (
@@ -50,6 +50,44 @@ def secret_targets(visit: Column) -> Column:
     )
 
 
+def edge_rows(extracted: DataFrame, key: str = "snippet_id") -> DataFrame:
+    """Edges of T2-T10 as rows ``key, seq, kind, target, src, origin``; ``src`` is NULL for a source.
+
+    ``origin`` says what starts the taint: ``call``, ``method``, ``function``, ``subscript`` or ``name``.
+    """
+    visits = extracted.select(key, F.inline(F.get("_facts", F.lit(0))["visits"])).filter(F.col("kind").isin(*BINDINGS))
+    visit = F.struct("kind", "plain")
+
+    def origin(atom: Column) -> Column:
+        by_call = F.concat_ws(".", atom["owner"], atom["name"]).isin(SOURCE_CALLS) & atom["owner"].isNotNull()
+        return F.when(is_source(atom), F.when((atom["kind"] == "method") & by_call, "call").otherwise(atom["kind"]))
+
+    def edges(sources: Column, targets: Column) -> Column:
+        return F.flatten(F.transform(targets, lambda t: F.transform(
+            sources, lambda s: F.struct(t.alias("target"), s["src"].alias("src"), s["origin"].alias("origin"))
+        )))
+
+    def flow(name: Column) -> Column:
+        return F.struct(name.alias("src"), F.lit("flow").alias("origin"))
+
+    def start(label: Column) -> Column:
+        return F.struct(F.lit(None).cast("string").alias("src"), label.alias("origin"))
+
+    starts = F.transform(F.array_compact(F.transform("atoms", origin)), start)
+    named = edges(F.array(start(F.lit("name"))), secret_targets(visit))
+    all_edges = F.concat(edges(F.concat(starts, F.transform("flows", flow)), F.col("targets")), named)
+    return visits.select(key, F.col("seq").cast("bigint").alias("seq"), "kind", F.inline(all_edges))
+
+
+def candidate_rows(extracted: DataFrame, key: str = "snippet_id") -> DataFrame:
+    """Names each use mentions, as ``key, seq, kind, role, operand, cand_pos, cand`` rows."""
+    visits = extracted.select(key, F.inline(F.get("_facts", F.lit(0))["visits"]))
+    operands = visits.select(key, "seq", "kind", F.posexplode("operands").alias("operand", "o"))
+    return operands.select(
+        key, "seq", "kind", F.col("o.role").alias("role"), "operand", F.posexplode("o.names").alias("cand_pos", "cand")
+    )
+
+
 def taints(visits: Column, extra_names: Column) -> Column:
     """Names and the visit that first taints each, as two aligned arrays."""
     start = F.struct(
@@ -84,101 +122,82 @@ def first_tainted(names: Column, seq: Column, known: Column) -> Column:
 
 class UseRule(NamedTuple):
     rule_id: str
-    kind: str
-    role: str
-    guard: Callable[[Column], Column]
+    kind: str  # kind of visit
+    role: str  # operand that must be tainted
+    by: str  # what of the visit is compared with ``values``: any, name, bare, method or tail
+    values: list[str]
     severity: str
     leak_type: str
-    message: Callable[[Column, Column], Column]
-
-
-def _says(template: str) -> Callable[[Column, Column], Column]:
-    """Message builder: ``{var}``, ``{name}``, ``{method}``, ``{bare}`` and ``{detail}`` are filled in."""
-
-    def build(visit: Column, var: Column) -> Column:
-        parts, rest = [], template
-        while rest:
-            before, brace, after = rest.partition("{")
-            if before:
-                parts.append(F.lit(before))
-            if not brace:
-                break
-            field, _, rest = after.partition("}")
-            parts.append(var if field == "var" else visit[field])
-        return F.concat(*parts)
-
-    return build
-
-
-def _always(_: Column) -> Column:
-    return F.lit(True)
+    message: str
 
 
-def _how(value: str) -> Callable[[Column], Column]:
-    return lambda v: v["name"] == value
-
-
-def _bare(*names: str) -> Callable[[Column], Column]:
-    return lambda v: v["bare"].isin(*names)
-
-
-def _method(*names: str) -> Callable[[Column], Column]:
-    return lambda v: v["method"].isin(*names)
+# Severity, leak type and message of each use; the order is the order of findings at one node.
+USE_RULES = [
+    UseRule("U1", "subscript", "value", "name", ["constant"], "CRITICAL", "char_extraction",
+            "Indexing tainted '{var}' at position {detail}"),
+    UseRule("U2", "subscript", "value", "name", ["slice"], "CRITICAL", "slice_extraction",
+            "Slicing tainted '{var}' extracts substring"),
+    UseRule("U3", "subscript", "value", "name", ["dynamic"], "HIGH", "char_extraction",
+            "Dynamic indexing into tainted '{var}'"),
+    UseRule("U4", "compare", "left", "any", [], "HIGH", "comparison_leak",
+            "Comparing tainted '{var}' leaks via boolean result"),
+    UseRule("U5", "compare", "right", "any", [], "HIGH", "comparison_leak",
+            "Comparing against tainted '{var}'"),
+    UseRule("U6", "call", "arg", "bare", ["ord"], "CRITICAL", "ord_byte_value",
+            "ord() on tainted '{var}' exposes byte value"),
+    UseRule("U7", "call", "arg", "bare", ["len"], "MEDIUM", "property_probe",
+            "len() on tainted '{var}' leaks secret length"),
+    UseRule("U8", "call", "arg", "bare", ["hex", "oct", "bin"], "HIGH", "encoding_transform",
+            "{name}() on tainted '{var}' encodes value"),
+    UseRule("U9", "call", "arg", "bare", ["repr"], "CRITICAL", "property_probe",
+            "repr() on tainted '{var}' may expose full value"),
+    UseRule("U10", "call", "arg", "bare", ["hash"], "MEDIUM", "property_probe",
+            "hash() on tainted '{var}' enables offline brute-force"),
+    UseRule("U11", "call", "arg", "bare", ["type"], "LOW", "property_probe",
+            "type() on tainted '{var}'"),
+    UseRule("U12", "call", "receiver", "method", ["startswith", "endswith"], "HIGH", "property_probe",
+            "'{var}'.{method}() enables binary search of value"),
+    UseRule("U13", "call", "receiver", "method", ["find", "rfind", "index", "rindex"], "HIGH", "property_probe",
+            "'{var}'.{method}() reveals character positions"),
+    UseRule("U14", "call", "receiver", "method", ["count"], "MEDIUM", "property_probe",
+            "'{var}'.count() reveals character frequency"),
+    UseRule("U15", "call", "receiver", "method", ["encode", "decode", "hex"], "HIGH", "encoding_transform",
+            "'{var}'.{method}() transforms secret encoding"),
+    UseRule("U16", "call", "receiver", "method", ["split", "partition", "rpartition"], "MEDIUM", "property_probe",
+            "'{var}'.{method}() reveals structure"),
+    UseRule("U17", "call", "arg", "name", ENCODING_CALLS, "HIGH", "encoding_transform",
+            "{name}() on tainted '{var}'"),
+    UseRule("U18", "loop", "iter", "any", [], "CRITICAL", "iteration_over_secret",
+            "Iterating over tainted '{var}' exposes each element"),
+    UseRule("U19", "comprehension", "iter", "any", [], "CRITICAL", "iteration_over_secret",
+            "Comprehension iterates over tainted '{var}'"),
+    UseRule("U20", "call", "arg", "tail", OUTPUT_SINKS, "HIGH", "indirect_output",
+            "Outputting derived data from tainted '{var}' via {name}()"),
+    UseRule("U21", "call", "keyword", "tail", OUTPUT_SINKS, "HIGH", "indirect_output",
+            "Outputting derived data from tainted '{var}' via {name}()"),
+    UseRule("U22", "fstring", "part", "any", [], "HIGH", "format_string_leak",
+            "f-string interpolates tainted '{var}'"),
+]
 
 
-def _is_sink(visit: Column) -> Column:
-    return visit["name"].isin(OUTPUT_SINKS) | (
-        F.contains(visit["name"], F.lit(".")) & F.substring_index(visit["name"], ".", -1).isin(OUTPUT_SINKS)
+def _rule_table() -> Column:
+    """The use rules as one literal array, so that a plan holds one expression for all of them."""
+    rows = [{**r._asdict(), "sev_rank": SEVERITY_RANK[r.severity], "place": i} for i, r in enumerate(USE_RULES)]
+    schema = (
+        "array<struct<kind:string,role:string,by:string,values:array<string>,severity:string,sev_rank:int,"
+        "leak_type:string,message:string,place:int>>"
     )
+    return F.from_json(F.lit(json.dumps(rows)), schema)
 
 
-# Severity, leak type and message of each use; the order is the order of findings at one node.
-USE_RULES = [
-    UseRule("U1", "subscript", "value", _how("constant"), "CRITICAL", "char_extraction",
-            _says("Indexing tainted '{var}' at position {detail}")),
-    UseRule("U2", "subscript", "value", _how("slice"), "CRITICAL", "slice_extraction",
-            _says("Slicing tainted '{var}' extracts substring")),
-    UseRule("U3", "subscript", "value", _how("dynamic"), "HIGH", "char_extraction",
-            _says("Dynamic indexing into tainted '{var}'")),
-    UseRule("U4", "compare", "left", _always, "HIGH", "comparison_leak",
-            _says("Comparing tainted '{var}' leaks via boolean result")),
-    UseRule("U5", "compare", "right", _always, "HIGH", "comparison_leak",
-            _says("Comparing against tainted '{var}'")),
-    UseRule("U6", "call", "arg", _bare("ord"), "CRITICAL", "ord_byte_value",
-            _says("ord() on tainted '{var}' exposes byte value")),
-    UseRule("U7", "call", "arg", _bare("len"), "MEDIUM", "property_probe",
-            _says("len() on tainted '{var}' leaks secret length")),
-    UseRule("U8", "call", "arg", _bare("hex", "oct", "bin"), "HIGH", "encoding_transform",
-            _says("{bare}() on tainted '{var}' encodes value")),
-    UseRule("U9", "call", "arg", _bare("repr"), "CRITICAL", "property_probe",
-            _says("repr() on tainted '{var}' may expose full value")),
-    UseRule("U10", "call", "arg", _bare("hash"), "MEDIUM", "property_probe",
-            _says("hash() on tainted '{var}' enables offline brute-force")),
-    UseRule("U11", "call", "arg", _bare("type"), "LOW", "property_probe",
-            _says("type() on tainted '{var}'")),
-    UseRule("U12", "call", "receiver", _method("startswith", "endswith"), "HIGH", "property_probe",
-            _says("'{var}'.{method}() enables binary search of value")),
-    UseRule("U13", "call", "receiver", _method("find", "rfind", "index", "rindex"), "HIGH", "property_probe",
-            _says("'{var}'.{method}() reveals character positions")),
-    UseRule("U14", "call", "receiver", _method("count"), "MEDIUM", "property_probe",
-            _says("'{var}'.count() reveals character frequency")),
-    UseRule("U15", "call", "receiver", _method("encode", "decode", "hex"), "HIGH", "encoding_transform",
-            _says("'{var}'.{method}() transforms secret encoding")),
-    UseRule("U16", "call", "receiver", _method("split", "partition", "rpartition"), "MEDIUM", "property_probe",
-            _says("'{var}'.{method}() reveals structure")),
-    UseRule("U17", "call", "arg", lambda v: v["name"].isin(ENCODING_CALLS), "HIGH", "encoding_transform",
-            _says("{name}() on tainted '{var}'")),
-    UseRule("U18", "loop", "iter", _always, "CRITICAL", "iteration_over_secret",
-            _says("Iterating over tainted '{var}' exposes each element")),
-    UseRule("U19", "comprehension", "iter", _always, "CRITICAL", "iteration_over_secret",
-            _says("Comprehension iterates over tainted '{var}'")),
-    UseRule("U20", "call", "arg", _is_sink, "HIGH", "indirect_output",
-            _says("Outputting derived data from tainted '{var}' via {name}()")),
-    UseRule("U21", "call", "keyword", _is_sink, "HIGH", "indirect_output",
-            _says("Outputting derived data from tainted '{var}' via {name}()")),
-    UseRule("U22", "fstring", "part", _always, "HIGH", "format_string_leak",
-            _says("f-string interpolates tainted '{var}'")),
-]
+def _applies(rule: Column, visit: Column) -> Column:
+    """Whether a rule is about this visit; ``tail`` is the last part of a dotted name."""
+    compared = (
+        F.when(rule["by"] == "bare", visit["bare"]).when(rule["by"] == "method", visit["method"])
+        .when(rule["by"] == "tail", F.substring_index(visit["name"], ".", -1)).otherwise(visit["name"])
+    )
+    named = F.coalesce(F.array_contains(rule["values"], compared), F.lit(False))
+    return (rule["kind"] == visit["kind"]) & ((rule["by"] == "any") | named)
 
 
 def _tainted_operands(visit: Column, known: Column) -> Column:
@@ -198,27 +217,16 @@ def _tainted_operands(visit: Column, known: Column) -> Column:
     return F.filter(named, lambda o: o["var"].isNotNull())
 
 
-def _rule_findings(rule: UseRule, order: int, visit: Column, hits: Column) -> Column:
-    """Findings of one rule at one visit: one per tainted operand in the rule's role."""
-
-    def finding(hit: Column, index: Column) -> Column:
-        fields = {
-            "part": F.lit(0), "at_line": F.lit(0), "stage": F.lit(1), "item": F.lit(0),
-            "seq": visit["seq"], "sub": F.lit(order * 100_000) + index.cast("int"),
-            "line": visit["line"], "col": visit["col"],
-            "severity": F.lit(rule.severity), "sev_rank": F.lit(SEVERITY_RANK[rule.severity]),
-            "leak_type": F.lit(rule.leak_type), "message": rule.message(visit, hit["var"]),
-            "code_snippet": visit["code"], "tainted_var": hit["var"], "lang": F.lit("python"),
-        }
-        return F.struct(*[c.alias(n) for n, c in fields.items()])
-
-    applies = (visit["kind"] == rule.kind) & F.coalesce(rule.guard(visit), F.lit(False))
-    in_role = F.filter(hits, lambda hit: hit["role"] == rule.role)
-    return F.when(applies, F.transform(in_role, finding))
+def _message(rule: Column, visit: Column, var: Column) -> Column:
+    """The rule's message with the tainted name and the visit's own words filled in."""
+    text = rule["message"]
+    for field, value in [("var", var), ("name", visit["name"]), ("method", visit["method"]), ("detail", visit["detail"])]:
+        text = F.replace(text, F.lit("{" + field + "}"), F.coalesce(value, F.lit("")))
+    return text
 
 
-def use_findings(visits: Column, known: Column) -> Column:
-    """T14 with U1-U22: findings of one snippet in visiting order."""
+def use_findings(visits: Column, known: Column, item: Column) -> Column:
+    """T14 with U1-U22: findings of one text in visiting order; ``item`` names its place in the snippet."""
     can_leak = (F.size(known["names"]) > 0) | F.exists(
         visits, lambda v: v["kind"].isin("loop", "comprehension") & starts_taint(v)
     )
@@ -230,10 +238,26 @@ def use_findings(visits: Column, known: Column) -> Column:
         lambda x: F.size(x["hits"]) > 0,
     )
 
+    def of_rule(rule: Column, x: Column) -> Column:
+        visit = x["visit"]
+
+        def finding(hit: Column, index: Column) -> Column:
+            fields = {
+                "part": F.lit(0), "at_line": item["line"], "stage": F.lit(1), "item": item["item"],
+                "seq": visit["seq"], "sub": rule["place"] * 100_000 + index.cast("int"),
+                "line": F.when(item["line"] > 0, item["line"]).otherwise(visit["line"]), "col": visit["col"],
+                "severity": rule["severity"], "sev_rank": rule["sev_rank"], "leak_type": rule["leak_type"],
+                "message": F.concat(
+                    F.when(item["line"] > 0, "[embedded python] ").otherwise(""), _message(rule, visit, hit["var"])
+                ),
+                "code_snippet": visit["code"], "tainted_var": hit["var"], "lang": F.lit("python"),
+            }
+            return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+        return F.transform(F.filter(x["hits"], lambda hit: hit["role"] == rule["role"]), finding)
+
     def of_visit(x: Column) -> Column:
-        lists = [_rule_findings(rule, order, x["visit"], x["hits"]) for order, rule in enumerate(USE_RULES)]
-        return F.flatten(F.array_compact(F.array(*lists)))
+        rules = F.filter(_rule_table(), lambda r: _applies(r, x["visit"]))
+        return F.flatten(F.transform(rules, lambda r: of_rule(r, x)))
 
-    return F.when(can_leak, F.flatten(F.transform(with_hits, of_visit))).otherwise(
-        F.array().cast(FINDINGS)
-    )
+    return F.when(can_leak, F.flatten(F.transform(with_hits, of_visit))).otherwise(F.array().cast(FINDINGS))
