@@ -130,20 +130,20 @@ def is_auth_failure(status: Column, text: Column) -> Column:
     return F.coalesce(status == 401, F.lit(False)) | F.coalesce(contains_any(text, AUTH_FAILURE_MARKS), F.lit(False))
 
 
-def alerts(classified: DataFrame, at: str = "at", cooldown_seconds: int = COOLDOWN_SECONDS) -> DataFrame:
+def alerts(classified: DataFrame, at: str = "at_us", cooldown_seconds: int = COOLDOWN_SECONDS) -> DataFrame:
     """Alertable failures left after the cooldown of their fingerprint."""
     return thin(alertable(classified), ["fingerprint"], at, "event_id", cooldown_seconds * SECOND)
 
 
 def burst_counts(
-    classified: DataFrame, at: str = "at", window_seconds: int = BURST_WINDOW_SECONDS, threshold: int = BURST_THRESHOLD
+    classified: DataFrame, at: str = "at_us", window_seconds: int = BURST_WINDOW_SECONDS, threshold: int = BURST_THRESHOLD
 ) -> DataFrame:
     """Alertable failures with the count of their window and the burst flag."""
     counted = sliding_count(alertable(classified), at, "event_id", window_seconds * SECOND)
     return counted.withColumn("is_burst", F.col("window_count") >= threshold)
 
 
-def burst_signals(counted: DataFrame, at: str = "at", rearm_seconds: int = BURST_WINDOW_SECONDS) -> DataFrame:
+def burst_signals(counted: DataFrame, at: str = "at_us", rearm_seconds: int = BURST_WINDOW_SECONDS) -> DataFrame:
     """One stop signal per burst episode."""
     reason = F.concat(F.col("error_class"), F.lit(" ("), F.col("error_code"), F.lit(")"))
     return episodes(

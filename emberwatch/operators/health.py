@@ -77,7 +77,7 @@ def _events(limits: Budget):
         current, state = None, Service()
         for batch in batches:
             out = []
-            names, times = batch["service"].to_numpy(), batch["at"].to_numpy()
+            names, times = batch["service"].to_numpy(), batch["at_us"].to_numpy()
             ids, status = batch["sample_id"].to_numpy(), batch["status"].to_numpy()
             edges = [0, *((names[1:] != names[:-1]).nonzero()[0] + 1).tolist(), len(names)]
             for start, end in zip(edges[:-1], edges[1:], strict=True):
@@ -94,18 +94,18 @@ def _events(limits: Budget):
                     if event:
                         out.append((current, int(ids[i]), int(times[i]), *event))
                     i += 1
-            yield pd.DataFrame(out, columns=["service", "sample_id", "at", "event", "restarts"])
+            yield pd.DataFrame(out, columns=["service", "sample_id", "at_us", "event", "restarts"])
 
     return fold
 
 
-def gate(samples: DataFrame, at: str = "at", seconds: int = CHECK_SECONDS) -> DataFrame:
+def gate(samples: DataFrame, at: str = "at_us", seconds: int = CHECK_SECONDS) -> DataFrame:
     """At most one sample of a service per check interval."""
     return thin(samples, ["service"], at, "sample_id", seconds * SECOND)
 
 
 def failure_windows(
-    samples: DataFrame, at: str = "at", seconds: int = FAIL_WINDOW_SECONDS, threshold: int = FAIL_THRESHOLD
+    samples: DataFrame, at: str = "at_us", seconds: int = FAIL_WINDOW_SECONDS, threshold: int = FAIL_THRESHOLD
 ) -> DataFrame:
     """P5: unhealthy samples with the failures of their service in the window, and the trigger flag."""
     failed = samples.filter(F.col("status").isNotNull() & (F.col("status") != HEALTHY))
@@ -116,11 +116,11 @@ def failure_windows(
 def restart_events(samples: DataFrame, limits: Budget | None = None) -> DataFrame:
     """RESTART, SHUTDOWN and RECOVERED events of each service.
 
-    ``samples`` has ``service, sample_id, at, status`` (NULL status: the fetch failed). The state of a
+    ``samples`` has ``service, sample_id, at_us, status`` (NULL status: the fetch failed). The state of a
     service after a sample depends on all before it, so a service is walked in order; its rows are
     streamed through one task in Arrow batches and never collected, with one small state at a time.
     """
-    rows = samples.select("service", "sample_id", "at", "status")
-    ordered = rows.repartition("service").sortWithinPartitions("service", "at", "sample_id")
-    schema = "service string, sample_id bigint, at bigint, event string, restarts int"
+    rows = samples.select("service", "sample_id", "at_us", "status")
+    ordered = rows.repartition("service").sortWithinPartitions("service", "at_us", "sample_id")
+    schema = "service string, sample_id bigint, at_us bigint, event string, restarts int"
     return ordered.mapInPandas(_events(limits or Budget()), schema)

@@ -15,7 +15,7 @@ MEMORY_COOLDOWN_SECONDS = 300
 _MB = 1024 * 1024
 
 
-def restarts(snapshots: DataFrame, at: str = "at", block_us: int = 3_600_000_000) -> DataFrame:
+def restarts(snapshots: DataFrame, at: str = "at_us", block_us: int = 3_600_000_000) -> DataFrame:
     """Snapshots whose restart counter rose since the process's last one, if that was positive."""
     paired = carry_last(snapshots, ["name"], at, "snapshot_id", F.col("restarts"), "previous_restarts", block_us)
     return paired.filter((F.col("previous_restarts") > 0) & (F.col("restarts") > F.col("previous_restarts")))
@@ -27,14 +27,14 @@ def high_memory(snapshots: DataFrame, threshold_mb: int = MEMORY_THRESHOLD_MB) -
 
 
 def memory_alerts(
-    snapshots: DataFrame, at: str = "at", threshold_mb: int = MEMORY_THRESHOLD_MB,
+    snapshots: DataFrame, at: str = "at_us", threshold_mb: int = MEMORY_THRESHOLD_MB,
     cooldown_seconds: int = MEMORY_COOLDOWN_SECONDS,
 ) -> DataFrame:
     """High-memory snapshots thinned by the alert cooldown of their process."""
     return thin(high_memory(snapshots, threshold_mb), ["name"], at, "snapshot_id", cooldown_seconds * SECOND)
 
 
-def latest(snapshots: DataFrame, at: str = "at") -> DataFrame:
+def latest(snapshots: DataFrame, at: str = "at_us") -> DataFrame:
     """The last snapshot of each process; pre-aggregated, so a busy process costs no more."""
     rest = [c for c in snapshots.columns if c != "name"]
     newest = snapshots.groupBy("name").agg(F.max_by(F.struct(*rest), F.struct(at, "snapshot_id")).alias("s"))

@@ -53,7 +53,7 @@ def inject_headers(request_headers: Column, injected: Column) -> Column:
 
 
 def credentials_in_force(
-    requests: DataFrame, credentials: DataFrame, keys: list[str], at: str = "at", block_us: int = _HOUR
+    requests: DataFrame, credentials: DataFrame, keys: list[str], at: str = "at_us", block_us: int = _HOUR
 ) -> DataFrame:
     """As-of join, the last credential of the provider issued at or before each request.
 
@@ -80,7 +80,7 @@ def credential_state(now: Column, expires_at: Column, skew_us: int = REFRESH_SKE
 
 def refresh_points(
     requests: DataFrame, invalidations: DataFrame, keys: list[str], ttl_us: int,
-    at: str = "at", tie: str = "request_id", skew_us: int = REFRESH_SKEW_SECONDS * SECOND,
+    at: str = "at_us", tie: str = "request_id", skew_us: int = REFRESH_SKEW_SECONDS * SECOND,
 ) -> DataFrame:
     """Requests that renew the credential; the others reuse it.
 
