@@ -36,7 +36,12 @@ _PARTS = {
 
 def raw_failures(spark, sf):
     """Nested failure records, as S2 reads them."""
-    parts = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type").selectExpr(
+    return nested(table(spark, sf, "events", "event_id", "ts", "user_id", "event_type"))
+
+
+def nested(events):
+    """Failure records of event rows, from a table or a stream."""
+    parts = events.selectExpr(
         "event_id", "ts", *[f"{sql} AS {name}" for name, sql in _PARTS.items()]
     )
     info = F.struct(F.col("info_code").alias("error_code"), F.col("info_class").alias("error_class"),
@@ -135,7 +140,7 @@ def e7(spark, sf):
     return _bursts(spark, sf, 12).select("event_id", "window_count")
 
 
-_COUNTED = f"""{_CLASSIFIED},
+COUNTED = f"""{_CLASSIFIED},
 counted AS (SELECT event_id, at_us, error_class, error_code, count(*) OVER (ORDER BY at_us RANGE BETWEEN {WINDOW * 1_000_000} PRECEDING AND CURRENT ROW)
  - count(*) OVER (PARTITION BY at_us) + row_number() OVER (PARTITION BY at_us ORDER BY event_id) AS window_count
  FROM classified WHERE label IS NOT NULL)"""
@@ -153,7 +158,7 @@ def e9(spark, sf):
     return _signals(spark, sf)
 
 
-_EPISODES = f"""{_COUNTED},
+_EPISODES = f"""{COUNTED},
 flagged AS (SELECT *, lag(at_us) OVER (ORDER BY at_us, event_id) AS before FROM counted WHERE window_count >= 12),
 numbered AS (SELECT *, sum(CASE WHEN before IS NULL OR at_us - before > {REARM * 1_000_000} THEN 1 ELSE 0 END)
  OVER (ORDER BY at_us, event_id ROWS UNBOUNDED PRECEDING) AS episode FROM flagged),
@@ -223,8 +228,8 @@ QUERIES = {
     "E5_fingerprint": _labels("fingerprint"),
     "E6_cooldown": _cooldown(60),
     "E6_long_cooldown": _cooldown(6 * 3600),
-    "E7_window_count": (e7, f"WITH {_COUNTED} SELECT event_id, window_count FROM counted"),
-    "E8_burst_flag": (e8, f"WITH {_COUNTED} SELECT event_id, window_count >= 6 AS is_burst FROM counted"),
+    "E7_window_count": (e7, f"WITH {COUNTED} SELECT event_id, window_count FROM counted"),
+    "E8_burst_flag": (e8, f"WITH {COUNTED} SELECT event_id, window_count >= 6 AS is_burst FROM counted"),
     "E9_burst_episodes": (e9, f"WITH {_EPISODES} SELECT started_at, event_id, reason, burst_count, n_events, ended_at FROM signals"),
     "E10_excerpt": (e10, f"WITH {_FLAT} SELECT event_id, {_EXCERPT} AS excerpt FROM flat"),
     "E11_alert_body": (e11, E11_SQL),

@@ -189,7 +189,11 @@ def _filled(template: str) -> Column:
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``snippet_id, slot, code, language``: one snippet per event."""
-    events = spread(table(spark, sf_dir, "events", "event_id", "user_id"), "event_id")
+    return fill(spread(table(spark, sf_dir, "events", "event_id", "user_id"), "event_id"))
+
+
+def fill(events: DataFrame) -> DataFrame:
+    """Snippets of event rows, from a table or a stream."""
     slot = F.col("event_id") % len(TEMPLATES)
     code = F.when(slot == 0, _filled(TEMPLATES[0]))
     for i, template in enumerate(TEMPLATES[1:], 1):

@@ -76,7 +76,11 @@ _SERVICE = "concat('s', CAST(user_id % 8 AS VARCHAR(20)))"
 
 
 def _samples(spark, sf):
-    events = table(spark, sf, "events", "event_id", "ts", "user_id")
+    return samples(table(spark, sf, "events", "event_id", "ts", "user_id"))
+
+
+def samples(events):
+    """Health samples of event rows, from a table or a stream."""
     return events.select(
         F.col("event_id").alias("sample_id"), micros("ts").alias("at_us"), F.expr(_SERVICE).alias("service"),
         health_status(F.expr(_ANSWER.replace("CAST(event_id / 400 AS INT)", "(event_id div 400)"))).alias("status"),

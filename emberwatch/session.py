@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
+from importlib import import_module
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
@@ -24,7 +24,7 @@ def local_session(app: str = "emberwatch", cores: int | str = "*", partitions: i
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ship_package(spark)
+    ship_package()
     return spark
 
 
@@ -50,15 +50,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers; does nothing if it was sent before."""
-    archive_name = "emberwatch_package"
-    if any(archive_name in path for path in getattr(spark.sparkContext, "_python_includes", [])):
-        return
-    package = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="emberwatch-")
-    archive = f"{folder}/{archive_name}.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for source in sorted(package.rglob("*.py")):
-            out.write(source, source.relative_to(package.parent))
-    spark.sparkContext.addPyFile(archive)
+def ship_package() -> None:
+    """Send this package's functions to Python workers by value.
+
+    Workers, and the driver-side worker of stateful streams, then need no copy of the package on
+    their path. On clusters that install it everywhere this is harmless.
+    """
+    cloudpickle.register_pickle_by_value(import_module("emberwatch"))
