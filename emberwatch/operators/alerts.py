@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,30 +62,29 @@ def _non_empty(text: Column) -> Column:
     return F.when(text != "", text)
 
 
+def _lookup(labels: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), key)
+
+
 def code_label(code: Column) -> Column:
-    """Label of an alerting code, or NULL."""
+    """Label of an alerting code, or NULL.
+
+    Codes from 500 on are told by their digits, so no integer width limits them.
+    """
     before, after = OTHER_CODE_LABEL.split("{code}")
-    chain = reduce(
-        lambda c, kv: c.when(code == kv[0], kv[1]), list(CODE_LABELS.items())[1:],
-        F.when(code == next(iter(CODE_LABELS)), next(iter(CODE_LABELS.values()))),
-    )
-    # Compared as text: a number without leading zeros is at least 500 if it is longer than three
-    # digits, or three digits not before "500". No integer width limits it.
-    number = F.regexp_replace(code, "^0+", "")
-    server_side = F.rlike(code, F.lit("^[0-9]+$")) & (
-        (F.length(number) > 3) | ((F.length(number) == 3) & (number >= "500"))
-    )
-    return chain.when(server_side, F.concat(F.lit(before), code, F.lit(after)))
+    server_side = F.rlike(code, F.lit("^0*([5-9][0-9]{2}|[1-9][0-9]{3,})$"))
+    return F.coalesce(_lookup(CODE_LABELS, code), F.when(server_side, F.concat(F.lit(before), code, F.lit(after))))
 
 
 def class_label(exception_class: Column, bases: dict[str, list[str]] | None = None) -> Column:
     """Label of the first listed class the exception is, or derives from (``bases``: class → bases)."""
-    derived = {name: [c for c, up in (bases or {}).items() if name in up] for name, _ in CLASS_LABELS}
-    chain = None
-    for name, label in CLASS_LABELS:
-        test = exception_class.isin(name, *derived[name])
-        chain = F.when(test, label) if chain is None else chain.when(test, label)
-    return chain
+    labels = dict(CLASS_LABELS)
+    for derived, parents in (bases or {}).items():
+        for name, label in CLASS_LABELS:
+            if name in parents or name == derived:
+                labels[derived] = label
+                break
+    return _lookup(labels, exception_class)
 
 
 def classify(failures: DataFrame, bases: dict[str, list[str]] | None = None) -> DataFrame:
@@ -135,6 +132,12 @@ def alerts(classified: DataFrame, at: str = "at_us", cooldown_seconds: int = COO
     return thin(alertable(classified), ["fingerprint"], at, "event_id", cooldown_seconds * SECOND)
 
 
+def alert_points(classified: DataFrame, at: str = "at_us", cooldown_seconds: int = COOLDOWN_SECONDS) -> DataFrame:
+    """``fingerprint``, time and id of the alerts alone."""
+    live = alertable(classified).select("fingerprint", at, "event_id")
+    return thin(live, ["fingerprint"], at, "event_id", cooldown_seconds * SECOND)
+
+
 def burst_counts(
     classified: DataFrame, at: str = "at_us", window_seconds: int = BURST_WINDOW_SECONDS, threshold: int = BURST_THRESHOLD
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.operators.carry import carry_last
+from emberwatch.session import run_dir, written
 
 TIE_SLICE = 100_000
 
@@ -45,6 +46,8 @@ def episodes(flagged: DataFrame, at: str, tie: str, rearm_us: int, block_us: int
     ``flagged`` has ``reason`` and ``window_count``. The signal of an episode is that of its first
     event: ``started_at, event_id, reason, burst_count``, plus ``n_events`` and ``ended_at``.
     """
+    # Flagged events are few and used several times; without this every use would count all again.
+    flagged = written(flagged, run_dir(flagged.sparkSession, "flagged"))
     with_previous = carry_last(flagged, [], at, tie, F.col(at), "_previous", block_us)
     starts = F.col("_previous").isNull() | (F.col(at) - F.col("_previous") > rearm_us)
     marked = with_previous.withColumn("_start", F.when(starts, F.struct(at, tie)))

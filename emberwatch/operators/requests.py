@@ -87,7 +87,7 @@ def refresh_points(
     A request renews if it comes ``ttl - skew`` or more after the last renewal, or after an
     invalidation (E12 events) that followed it.
     """
-    return thin(requests, keys, at, tie, ttl_us - skew_us, resets=invalidations.select(*keys, at))
+    return thin(requests, keys, at, tie, ttl_us - skew_us, resets=invalidations)
 
 
 def refresh_outcome(succeeded: Column, now: Column, expires_at: Column) -> Column:

@@ -123,7 +123,8 @@ def scan_commands(commands: DataFrame, policy: Policy | None = None) -> DataFram
 def finding_rows(scanned: DataFrame, *keys: str) -> DataFrame:
     """One row per finding, with its place in the snippet's list."""
     fields = ["line", "col", "severity", "sev_rank", "leak_type", "message", "code_snippet", "tainted_var"]
-    exploded = scanned.select(*keys, F.posexplode("findings").alias("pos", "f"))
+    # The outer form: for the inner one Spark infers a filter that computes the findings twice.
+    exploded = scanned.select(*keys, F.posexplode_outer("findings").alias("pos", "f")).filter("pos IS NOT NULL")
     return exploded.select(*keys, (F.col("pos") + 1).alias("pos"), *[F.col(f"f.{c}").alias(c) for c in fields])
 
 

@@ -35,6 +35,7 @@ _ARROW_FACTS = pa.list_(pa.struct([
     ]))),
 ]))
 
+_LEAVES = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop, ast.alias)
 _COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
 
 
@@ -99,6 +100,17 @@ def _operand(role: str, node: ast.AST) -> dict:
     return {"role": role, "names": _mentions(node)}
 
 
+def _children(node: ast.AST) -> list[ast.AST]:
+    """Children that may state facts or have children, in field order."""
+    found = []
+    for name in node._fields:
+        value = getattr(node, name, None)
+        for child in value if isinstance(value, list) else (value,):
+            if isinstance(child, ast.AST) and not isinstance(child, _LEAVES):
+                found.append(child)
+    return found
+
+
 def _binding(kind: str, targets: list[ast.AST], value: ast.AST) -> dict:
     flows, atoms = _origins(value)
     return {
@@ -143,6 +155,11 @@ def _facts_of(node: ast.AST) -> Iterator[tuple[ast.AST, dict]]:
                 yield generator, _binding("comprehension", [generator.target], generator.iter)
 
 
+_STATING = (
+    ast.Assign, ast.AnnAssign, ast.For, ast.Subscript, ast.Compare, ast.JoinedStr, ast.Call, *_COMPREHENSIONS,
+)
+
+
 def facts(code: str) -> dict:
     """Facts of one snippet in visiting order; ``ok`` is false if it does not parse."""
     try:
@@ -151,7 +168,7 @@ def facts(code: str) -> dict:
         visits, seq = [], 0
         while pending:
             node = pending.pop()
-            for place, fact in _facts_of(node):
+            for place, fact in _facts_of(node) if isinstance(node, _STATING) else ():
                 seq += 1
                 if fact["kind"] not in ("assign", "loop", "comprehension"):
                     fact["operands"] = [o for o in fact["operands"] if o["names"]]
@@ -160,7 +177,7 @@ def facts(code: str) -> dict:
                 line = getattr(place, "lineno", 0)
                 text = lines[line - 1].strip() if 0 < line <= len(lines) else ""
                 visits.append({**fact, "seq": seq, "line": line, "col": getattr(place, "col_offset", 0), "code": text})
-            pending += reversed(list(ast.iter_child_nodes(node)))
+            pending += reversed(_children(node))
         return {"ok": True, "visits": visits}
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return {"ok": False, "visits": []}

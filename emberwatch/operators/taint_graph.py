@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.session import run_dir
+from emberwatch.session import run_dir, written
 
 
 def earliest_taint(edges: DataFrame, given: DataFrame | None = None) -> DataFrame:
@@ -27,8 +27,8 @@ def earliest_taint(edges: DataFrame, given: DataFrame | None = None) -> DataFram
         seeds = seeds.unionByName(given.select("snippet_id", "name", F.lit(-1).cast("bigint").alias("seq")))
     seeded = seeds.select("snippet_id").distinct()
     # Written once, so that no round reads or filters the source again.
-    steps = _written(edges.filter("src IS NOT NULL").join(seeded, "snippet_id", "left_semi"), f"{folder}/steps")
-    state = _written(_merged(seeds.withColumn("old", F.lit(False))), f"{folder}/state-0")
+    steps = written(edges.filter("src IS NOT NULL").join(seeded, "snippet_id", "left_semi"), f"{folder}/steps")
+    state = written(_merged(seeds.withColumn("old", F.lit(False))), f"{folder}/state-0")
     turn = 0
     while not state.filter("fresh").isEmpty():
         turn += 1
@@ -36,7 +36,7 @@ def earliest_taint(edges: DataFrame, given: DataFrame | None = None) -> DataFram
         reached = steps.join(frontier, ["snippet_id", "src"]).filter("since < seq")
         arrivals = reached.select("snippet_id", F.col("target").alias("name"), "seq", F.lit(False).alias("old"))
         known = state.select("snippet_id", "name", "seq", F.lit(True).alias("old"))
-        state = _written(_merged(known.unionByName(arrivals)), f"{folder}/state-{turn}")
+        state = written(_merged(known.unionByName(arrivals)), f"{folder}/state-{turn}")
     return state.drop("fresh")
 
 
@@ -47,11 +47,6 @@ def _merged(taints: DataFrame) -> DataFrame:
     return merged.select("snippet_id", "name", "seq", F.expr("had IS NULL OR seq < had").alias("fresh"))
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def firing_uses(uses: DataFrame, known: DataFrame) -> DataFrame:
     """Uses that fire, with the label of their lowest firing candidate."""
     k = known.select("snippet_id", F.col("name").alias("cand"), F.col("seq").alias("_since"))

@@ -18,20 +18,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _FAR = np.iinfo(np.int64).max
-_LONG_AGO = -(2**62)
+_LONG_AGO = -(2**62)  # also marks "unchanged" in numpy form
 _STEPS = "array<struct<upto:bigint,out:bigint>>"
-_ARROW_STEPS = pa.list_(pa.struct([("upto", pa.int64()), ("out", pa.int64())]))
 _ENTRIES = "array<struct<id:bigint,entry:bigint>>"
-_ARROW_ENTRIES = pa.list_(pa.struct([("id", pa.int64()), ("entry", pa.int64())]))
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
-    """A list column as one numpy view per row (NULL as empty)."""
+    """A list column as one numpy view per row."""
     offsets = column.offsets.to_numpy()
     values = column.values.to_numpy(zero_copy_only=False)
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
+def _structs(sizes: list[int], **fields: np.ndarray | pa.Array) -> pa.Array:
+    """A column of lists of structs from flat fields."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    flat = pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], names=list(fields))
+    return pa.ListArray.from_arrays(offsets, flat)
+
+
+def _steps(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    upto = np.concatenate([u for u, _ in rows]) if rows else np.array([], dtype=np.int64)
+    out = np.concatenate([o for _, o in rows]) if rows else np.array([], dtype=np.int64)
+    return _structs([len(u) for u, _ in rows], upto=upto, out=pa.array(out, mask=out == _LONG_AGO))
+
+
+def _merged(points: np.ndarray, out: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps with equal results joined; the last one reaches for ever."""
+    value = np.where(same, _LONG_AGO, out)
+    last = np.append(value[1:] != value[:-1], True)
+    upto = points[last]
+    upto[-1] = _FAR
+    return upto, value[last]
+
+
+def _parts(column: pa.Array) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Rows of ``array<struct<id, steps>>`` as (id, upto, out) in order of ``id``."""
+    outer, parts = column.offsets.to_numpy(), column.values
+    ids, steps = parts.field("id").to_numpy(), parts.field("steps")
+    inner = steps.offsets.to_numpy()
+    upto = steps.values.field("upto").to_numpy()
+    out = steps.values.field("out").fill_null(_LONG_AGO).to_numpy()
+    return [
+        [(int(ids[i]), upto[inner[i]:inner[i + 1]], out[inner[i]:inner[i + 1]]) for i in a + np.argsort(ids[a:b])]
+        for a, b in zip(outer[:-1], outer[1:], strict=True)
+    ]
+
+
 def _release(kept: np.ndarray, hold: int, resets: np.ndarray) -> np.ndarray:
     """When a key may keep again after keeping at ``kept``."""
     free = kept + hold
@@ -53,54 +86,23 @@ def _walk(entries: np.ndarray, times: np.ndarray, hold: int, resets: np.ndarray)
         free[live] = _release(times[at[live]], hold, resets)
 
 
-def _merge_steps(upto: np.ndarray, out: np.ndarray, same: np.ndarray) -> list[dict]:
-    """Steps with equal results joined; the last one reaches for ever."""
-    steps: list[dict] = []
-    for u, o, unchanged in zip(upto.tolist(), out.tolist(), same.tolist(), strict=True):
-        value = None if unchanged else o
-        if steps and steps[-1]["out"] == value:
-            steps[-1]["upto"] = u
-        else:
-            steps.append({"upto": u, "out": value})
-    steps[-1]["upto"] = int(_FAR)
-    return steps
-
-
 def _block_steps(hold: int):
     def of_batch(times: pa.Array, resets: pa.Array, start: pa.Array) -> pa.Array:
         rows = []
         for t, r, s in zip(_lists(times), _lists(resets), start.to_pylist(), strict=True):
             if len(t) == 1 and not len(r):
-                at = int(t[0])
-                rows.append([{"upto": at, "out": at + hold}, {"upto": int(_FAR), "out": None}])
+                rows.append((np.array([t[0], _FAR]), np.array([t[0] + hold, _LONG_AGO])))
                 continue
             latest = s + hold  # no hold reaches further into the block
             points = np.unique(np.append(t[t < latest], latest))
             cap = r[0] + 1 if len(r) else _FAR
-            entries = np.minimum(points, cap)
-            out = _walk(entries, t, hold, r)
-            same = (np.searchsorted(t, points) >= len(t)) & (points <= cap)
-            rows.append(_merge_steps(points, out, same))
-        return pa.array(rows, type=_ARROW_STEPS)
+            out = _walk(np.minimum(points, cap), t, hold, r)
+            rows.append(_merged(points, out, (np.searchsorted(t, points) >= len(t)) & (points <= cap)))
+        return _steps(rows)
 
     return of_batch
 
 
-def _parts(column: pa.Array) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
-    """Rows of ``array<struct<id, steps>>`` as (id, upto, out) with ``out`` -1 for "unchanged"."""
-    rows = []
-    for parts in column.to_pylist():
-        rows.append([
-            (
-                p["id"],
-                np.array([x["upto"] for x in p["steps"]], dtype=np.int64),
-                np.array([_LONG_AGO if x["out"] is None else x["out"] for x in p["steps"]], dtype=np.int64),
-            )
-            for p in sorted(parts, key=lambda p: p["id"])
-        ])
-    return rows
-
-
 def _compose(hold: int, width: int):
     def of_batch(parts: pa.Array, start: pa.Array) -> pa.Array:
         rows = []
@@ -110,26 +112,26 @@ def _compose(hold: int, width: int):
             value, same = points.copy(), np.ones(len(points), dtype=bool)
             for _, upto, out in functions:
                 result = out[np.searchsorted(upto, value)]
-                kept_as_is = result == _LONG_AGO
-                value = np.where(kept_as_is, value, result)
-                same &= kept_as_is
-            rows.append(_merge_steps(points, value, same))
-        return pa.array(rows, type=_ARROW_STEPS)
+                unchanged = result == _LONG_AGO
+                value = np.where(unchanged, value, result)
+                same &= unchanged
+            rows.append(_merged(points, value, same))
+        return _steps(rows)
 
     return of_batch
 
 
 def _hand_down(parts: pa.Array, entry: pa.Array) -> pa.Array:
     """Entry time of each part, given the entry time of the first."""
-    rows = []
+    ids, entries, sizes = [], [], []
     for functions, value in zip(_parts(parts), entry.to_pylist(), strict=True):
-        entries = []
+        sizes.append(len(functions))
         for part, upto, out in functions:
-            entries.append({"id": part, "entry": value})
-            result = int(out[np.searchsorted(upto, value)])
+            ids.append(part)
+            entries.append(value)
+            result = int(out[upto.searchsorted(value)])
             value = value if result == _LONG_AGO else result
-        rows.append(entries)
-    return pa.array(rows, type=_ARROW_ENTRIES)
+    return _structs(sizes, id=np.array(ids, dtype=np.int64), entry=np.array(entries, dtype=np.int64))
 
 
 def _kept_positions(hold: int):
@@ -150,45 +152,50 @@ def _kept_positions(hold: int):
     return of_batch
 
 
-def thin(
+def kept_points(
     events: DataFrame, keys: list[str], at: str, tie: str, hold_us: int,
     resets: DataFrame | None = None, block_holds: int = 32, run_blocks: int = 256,
 ) -> DataFrame:
-    """Rows of ``events`` kept by greedy thinning per key.
+    """``keys, at, tie`` of the events kept by greedy thinning per key.
 
     ``at`` is a microsecond BIGINT and ``tie`` orders events of the same time. An event exactly
-    ``hold_us`` after the last kept one is kept. ``resets`` has ``keys`` and ``at``.
+    ``hold_us`` after the last kept one is kept. ``resets`` has ``keys`` and ``at``. Only these
+    columns are shuffled; a task sees one key's times of one block, or the step functions of one run.
     """
     width = hold_us * block_holds
-    columns = events.columns
-    key = F.struct(*keys) if keys else F.struct(F.lit(0))
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
     block = F.expr(f"{at} div {width}")
-    item = F.struct(F.col(at).alias("_at"), F.col(tie).alias("_tie"), F.struct(*columns).alias("row"))
-    marks = events.select(key.alias("_key"), block.alias("_block"), item.alias("_item"), F.lit(None).cast("bigint").alias("_reset"))
-    if resets is not None:
-        marks = marks.unionByName(
-            resets.select(key.alias("_key"), block.alias("_block"), F.col(at).alias("_reset")), allowMissingColumns=True
-        )
+    run = F.expr(f"_block div {run_blocks}")
+    point = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"))
+    marks = events.select(key.alias("_key"), block.alias("_block"), point.alias("_point"))
+    if resets is None:
+        no_resets = F.array().cast("array<bigint>")
+    else:
+        ends = resets.select(key.alias("_key"), block.alias("_block"), F.col(at).alias("_reset"))
+        marks = marks.unionByName(ends, allowMissingColumns=True)
+        no_resets = F.sort_array(F.collect_set("_reset"))
+    # The joins below imply these filters. Stated here, every use of ``blocks`` has the same plan and
+    # Spark shuffles the events once. A row without a time has no place in the order.
+    marks = marks.filter(F.col("_block").isNotNull() & run.isNotNull())
     blocks = marks.groupBy("_key", "_block").agg(
-        F.sort_array(F.collect_list("_item")).alias("_items"), F.sort_array(F.collect_list("_reset")).alias("_resets")
+        F.sort_array(F.collect_list("_point")).alias("_points"),
+        *([] if resets is None else [no_resets.alias("_resets")]),
     )
+    if resets is None:
+        blocks = blocks.withColumn("_resets", no_resets)
+    block_steps = F.arrow_udf(_block_steps(hold_us), _STEPS)
     functions = blocks.select(
         "_key",
-        F.expr(f"_block div {run_blocks}").alias("_run"),
+        run.alias("_run"),
         F.struct(
             F.col("_block").alias("id"),
-            F.arrow_udf(_block_steps(hold_us), _STEPS)(
-                F.col("_items._at"), F.col("_resets"), F.col("_block") * width
-            ).alias("steps"),
+            block_steps(F.col("_points.at"), F.col("_resets"), F.col("_block") * width).alias("steps"),
         ).alias("part"),
     )
     runs = functions.groupBy("_key", "_run").agg(F.collect_list("part").alias("parts"))
+    compose = F.arrow_udf(_compose(hold_us, width * run_blocks), _STEPS)
     whole = runs.select(
-        "_key",
-        F.struct(
-            F.col("_run").alias("id"),
-            F.arrow_udf(_compose(hold_us, width * run_blocks), _STEPS)(F.col("parts"), F.col("_run")).alias("steps"),
-        ).alias("part"),
+        "_key", F.struct(F.col("_run").alias("id"), compose(F.col("parts"), F.col("_run")).alias("steps")).alias("part")
     ).groupBy("_key").agg(F.collect_list("part").alias("parts"))
     hand_down = F.arrow_udf(_hand_down, _ENTRIES)
     run_entries = whole.select(
@@ -197,11 +204,23 @@ def thin(
     block_entries = runs.join(run_entries, ["_key", "_run"]).select(
         "_key", F.inline(hand_down(F.col("parts"), F.col("_entry"))).alias("_block", "_entry")
     )
+    positions = F.arrow_udf(_kept_positions(hold_us), "array<int>")
     chosen = blocks.join(block_entries, ["_key", "_block"]).select(
-        "_items",
-        F.arrow_udf(_kept_positions(hold_us), "array<int>")(
-            F.col("_items._at"), F.col("_resets"), F.col("_entry")
-        ).alias("_kept"),
+        "_key", "_points", positions(F.col("_points.at"), F.col("_resets"), F.col("_entry")).alias("_kept")
+    )
+    kept = chosen.select("_key", F.explode(F.transform("_kept", lambda i: F.get("_points", i))).alias("_point"))
+    return kept.select(
+        *[F.col(f"_key.{k}").alias(k) for k in keys], F.col("_point.at").alias(at), F.col("_point.tie").alias(tie)
     )
-    kept = chosen.select(F.explode(F.transform("_kept", lambda i: F.get("_items", i))).alias("_item"))
-    return kept.select([F.col(f"_item.row.{c}").alias(c) for c in columns])
+
+
+def thin(events: DataFrame, keys: list[str], at: str, tie: str, hold_us: int, **options) -> DataFrame:
+    """Rows of ``events`` kept by greedy thinning per key (see ``kept_points``).
+
+    Wide rows are not moved through the thinning; they are picked by a semi join, which the
+    optimiser broadcasts when few are kept.
+    """
+    points = kept_points(events, keys, at, tie, hold_us, **options)
+    if set(events.columns) <= {*keys, at, tie}:
+        return points.select(*events.columns)
+    return events.join(points, [*keys, at, tie], "left_semi")

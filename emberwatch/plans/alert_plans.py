@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions.text import micros
 from emberwatch.operators.alerts import (
-    CLASS_LABELS, CODE_LABELS, alertable, alerts, body, burst_counts, burst_signals, classify, excerpt,
+    CLASS_LABELS, CODE_LABELS, alert_points, alertable, alerts, body, burst_counts, burst_signals, classify, excerpt,
     is_auth_failure, normalise_failures,
 )
 from emberwatch.operators.processes import stop_notice
 from emberwatch.plans.corpus import quoted
 from emberwatch.sources.readers import FAILURE
 from emberwatch.sources.sinks import signal_rows
-from emberwatch.sources.tables import table
+from emberwatch.sources.tables import spread, table
 
 # Flat parts of a failure record; the same SQL runs in Spark and in the oracle.
 _PARTS = {
@@ -36,7 +36,7 @@ _PARTS = {
 
 def raw_failures(spark, sf):
     """Nested failure records, as S2 reads them."""
-    return nested(table(spark, sf, "events", "event_id", "ts", "user_id", "event_type"))
+    return nested(spread(table(spark, sf, "events", "event_id", "ts", "user_id", "event_type"), "event_id"))
 
 
 def nested(events):
@@ -118,9 +118,10 @@ def e4(spark, sf):
     return alertable(_classified(spark, sf)).groupBy("label").agg(F.count("*").alias("n"))
 
 
-def _cooldown(seconds):
+def _cooldown(seconds, points=True):
     def query(spark, sf):
-        return alerts(_classified(spark, sf), cooldown_seconds=seconds).select("event_id", "at_us", "fingerprint")
+        thinned = alert_points if points else alerts
+        return thinned(_classified(spark, sf), cooldown_seconds=seconds).select("event_id", "at_us", "fingerprint")
 
     sql = f"""WITH RECURSIVE {_CLASSIFIED}, live AS (SELECT * FROM classified WHERE label IS NOT NULL),
 {thinned_sql('live', 'fingerprint', seconds * 1_000_000)}
@@ -227,7 +228,7 @@ QUERIES = {
     "E4_alertable": (e4, f"WITH {_CLASSIFIED} SELECT label, count(*) AS n FROM classified WHERE label IS NOT NULL GROUP BY label"),
     "E5_fingerprint": _labels("fingerprint"),
     "E6_cooldown": _cooldown(60),
-    "E6_long_cooldown": _cooldown(6 * 3600),
+    "E6_long_cooldown": _cooldown(6 * 3600, points=False),
     "E7_window_count": (e7, f"WITH {COUNTED} SELECT event_id, window_count FROM counted"),
     "E8_burst_flag": (e8, f"WITH {COUNTED} SELECT event_id, window_count >= 6 AS is_burst FROM counted"),
     "E9_burst_episodes": (e9, f"WITH {_EPISODES} SELECT started_at, event_id, reason, burst_count, n_events, ended_at FROM signals"),

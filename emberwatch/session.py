@@ -7,7 +7,7 @@ import uuid
 from importlib import import_module
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "emberwatch", cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -21,6 +21,8 @@ def local_session(app: str = "emberwatch", cores: int | str = "*", partitions: i
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # As many partitions as cores: merging them by size would only idle cores on small tables.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -44,10 +46,10 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point ``DataFrame.checkpoint`` at the shared folder unless it is set already."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+def written(df: DataFrame, path: str) -> DataFrame:
+    """A frame written to the shared folder and read back: computed once, with no lineage to redo."""
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def ship_package() -> None:
