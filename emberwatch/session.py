@@ -49,7 +49,7 @@ def run_dir(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, path: str) -> DataFrame:
     """A frame written to the shared folder and read back: computed once, with no lineage to redo."""
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship_package() -> None:
