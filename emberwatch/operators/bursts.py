@@ -9,28 +9,41 @@ from emberwatch.operators.carry import carry_last
 from emberwatch.session import run_dir, written
 
 TIE_SLICE = 100_000
+BUCKET_US = 60_000_000
 
 
-def sliding_count(events: DataFrame, at: str, tie: str, window_us: int, keys: list[str] | None = None) -> DataFrame:
+def sliding_count(
+    events: DataFrame, at: str, tie: str, window_us: int, keys: list[str] | None = None, bucket_us: int = BUCKET_US
+) -> DataFrame:
     """Add ``window_count``, the events in the last ``window_us`` up to and including each event.
 
     The lower bound is inclusive; events of the same time count in ``tie`` order (a unique BIGINT).
-    One window over the time line would be one task, so time is bucketed by the window's width and
-    each bucket also sees a copy of the one before. What is copied are counts per distinct time, and
-    a time shared by very many events is cut by ``tie``, so no bucket grows with the data.
+    A window over the time line would be one task, so the count is a difference of two positions on
+    it: the event's own, and that of a probe ``window_us`` earlier. Positions are counted within time
+    buckets, whose openings come from a one-row-per-bucket summary. What is sorted are counts per
+    distinct time, and a time shared by very many events is cut by ``tie``: no bucket grows with the
+    data, whatever the window's width.
     """
     keys = keys or []
     sliced = events.withColumn("_slice", F.expr(f"{tie} div {TIE_SLICE}"))
     place = [*keys, at, "_slice"]
     counts = sliced.groupBy(*place).agg(F.count("*").alias("_n"))
-    own = F.expr(f"{at} div {window_us}")
-    copied = counts.withColumn("_bucket", F.explode(F.array(own, own + 1)))
-    reach = Window.partitionBy(*keys, "_bucket").orderBy(at).rangeBetween(-window_us, 0)
-    peers = Window.partitionBy(*keys, "_bucket", at).orderBy("_slice").rowsBetween(0, Window.unboundedFollowing)
-    before = (
-        copied.withColumn("_before", F.sum("_n").over(reach) - F.sum("_n").over(peers))
-        .filter(F.col("_bucket") == own)
-        .select(*place, "_before")
+    none = F.lit(0).cast("bigint")
+    marks = counts.select(*place, F.inline(F.array(
+        F.struct(F.col(at).alias("_t"), F.col("_slice").alias("_s"), F.col("_n").alias("_events"), F.lit(1).alias("_sign")),
+        F.struct((F.col(at) - window_us).alias("_t"), F.lit(-1).cast("bigint").alias("_s"), none.alias("_events"),
+                 F.lit(-1).alias("_sign")),
+    ))).withColumn("_bucket", F.expr(f"_t div {bucket_us}"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_s").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    openings = marks.groupBy(*keys, "_bucket").agg(F.sum("_events").alias("_total")).select(
+        *keys, "_bucket", F.coalesce(F.sum("_total").over(earlier), none).alias("_opening")
+    )
+    positions = marks.withColumn("_inside", F.coalesce(F.sum("_events").over(inside), none)).join(
+        openings, [*keys, "_bucket"]
+    )
+    before = positions.groupBy(*place).agg(
+        F.sum((F.col("_opening") + F.col("_inside")) * F.col("_sign")).alias("_before")
     )
     ranked = sliced.withColumn("_rank", F.row_number().over(Window.partitionBy(*place).orderBy(tie)))
     return (

@@ -57,11 +57,12 @@ def test_thin_boundaries_and_payload(spark):
     assert sorted(r.id for r in kept.collect()) == [1, 3, 6, 7]
 
 
-def test_sliding_count_and_episodes(spark, monkeypatch):
+@pytest.mark.parametrize("bucket", [4, 10, 33])
+def test_sliding_count_and_episodes(spark, monkeypatch, bucket):
     monkeypatch.setattr(bursts, "TIE_SLICE", 7)
     rng = random.Random(7)
     events = [(i, rng.randint(0, 1500)) for i in range(1500)]
-    counted = bursts.sliding_count(spark.createDataFrame(events, "id bigint, at bigint"), "at", "id", 10)
+    counted = bursts.sliding_count(spark.createDataFrame(events, "id bigint, at bigint"), "at", "id", 10, bucket_us=bucket)
     ordered = sorted((t, i) for i, t in events)
     want = {i: sum(1 for u, j in ordered if t - 10 <= u and (u, j) <= (t, i)) for t, i in ordered}
     assert {r.id: r.window_count for r in counted.collect()} == want
