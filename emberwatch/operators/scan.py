@@ -37,23 +37,20 @@ def extract(snippets: DataFrame, languages: Column | None = None) -> DataFrame:
     if languages is not None:
         python = python & F.array_contains(languages, "python")
         bash = bash & F.array_contains(languages, "bash")
-    lines = (
-        routed.withColumn("_rule_hits", F.when(bash, bash_findings(code)).otherwise(F.array().cast(FINDINGS)))
-        .withColumn("_multi_hits", multi_findings(code))
-        .withColumn(
-            "_bodies",
-            F.when(bash, embedded_python(code)).otherwise(F.array().cast("array<struct<line:int,item:int,body:string>>")),
-        )
-    )
+    no_bodies = F.array().cast("array<struct<line:int,item:int,body:string>>")
+    lines = routed.withColumns({
+        "_rule_hits": F.when(bash, bash_findings(code)).otherwise(F.array().cast(FINDINGS)),
+        "_multi_hits": multi_findings(code),
+        "_bodies": F.when(bash, embedded_python(code)).otherwise(no_bodies),
+    })
     texts = F.when(python, F.array(code)).otherwise(F.transform("_bodies", lambda b: b["body"]))
     # The one-element explode keeps the optimiser from merging the lambdas above into the UDF call,
     # where Spark 4.1 fails to extract it; it neither adds nor drops rows.
     fenced = lines.withColumn("_texts", F.explode(F.array(texts)))
-    return (
-        fenced.withColumn("_facts", extract_facts(F.col("_texts")))
-        .withColumn("_places", F.transform("_bodies", lambda b: F.struct(b["line"], b["item"])))
-        .drop("_texts", "_bodies")
-    )
+    return fenced.withColumns({
+        "_facts": extract_facts(F.col("_texts")),
+        "_places": F.transform("_bodies", lambda b: F.struct(b["line"], b["item"])),
+    }).drop("_texts", "_bodies")
 
 
 def judge(extracted: DataFrame) -> DataFrame:
@@ -85,27 +82,21 @@ def judge(extracted: DataFrame) -> DataFrame:
             ),
         ),
     )
-    found = traced.withColumn(
-        "findings",
-        F.sort_array(
-            F.concat(
-                F.flatten(F.transform("_traces", lambda t: use_findings(t["visits"], t["known"], t["place"]))),
-                F.when(bash, F.col("_rule_hits")).otherwise(nothing),
-                F.when(enabled, pick_languages(F.col("_multi_hits"), langs)).otherwise(nothing),
-            )
-        ),
-    )
-    kept = found.withColumn("findings", meets_threshold(F.col("findings"), policy["min_rank"]))
-    verdict = (
-        kept.withColumn(
-            "tainted_vars",
-            F.coalesce(F.when(python, F.sort_array(F.get("_traces", F.lit(0))["known"]["names"])), _no_names()),
-        )
-        .withColumn("n_findings", F.size("findings").cast("bigint"))
-        .withColumn("max_severity", max_severity(F.col("findings")))
-        .withColumn("blocked", is_blocked(F.col("findings"), policy["mode"]))
+    found = F.concat(
+        F.flatten(F.transform("_traces", lambda t: use_findings(t["visits"], t["known"], t["place"]))),
+        F.when(bash, F.col("_rule_hits")).otherwise(nothing),
+        F.when(enabled, pick_languages(F.col("_multi_hits"), langs)).otherwise(nothing),
     )
-    return verdict.drop("_rule_hits", "_multi_hits", "_places", "_facts", "_traces")
+    own_names = F.when(python, F.sort_array(F.get("_traces", F.lit(0))["known"]["names"]))
+    judged = traced.withColumns({
+        "findings": F.sort_array(meets_threshold(found, policy["min_rank"])),
+        "tainted_vars": F.coalesce(own_names, _no_names()),
+    }).drop("_rule_hits", "_multi_hits", "_places", "_facts", "_traces")
+    return judged.withColumns({
+        "n_findings": F.size("findings").cast("bigint"),
+        "max_severity": max_severity(F.col("findings")),
+        "blocked": is_blocked(F.col("findings"), policy["mode"]),
+    })
 
 
 def scan(snippets: DataFrame, policy: Policy | None = None) -> DataFrame:

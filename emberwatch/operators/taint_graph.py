@@ -8,7 +8,7 @@ snippet, so a large snippet is spread over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from emberwatch.session import run_dir, written
@@ -28,18 +28,25 @@ def earliest_taint(edges: DataFrame, given: DataFrame | None = None) -> DataFram
     seeded = seeds.select("snippet_id").distinct()
     # Written once, so that no round reads or filters the source again.
     steps = written(edges.filter("src IS NOT NULL").join(seeded, "snippet_id", "left_semi"), f"{folder}/steps")
-    state = written(_merged(seeds.withColumn("old", F.lit(False))), f"{folder}/state-0")
+    state, fresh = _round(seeds.withColumn("old", F.lit(False)), f"{folder}/state-0")
     turn = 0
-    while not state.filter("fresh").isEmpty():
+    while fresh:
         turn += 1
         frontier = state.filter("fresh").select("snippet_id", F.col("name").alias("src"), F.col("seq").alias("since"))
         reached = steps.join(frontier, ["snippet_id", "src"]).filter("since < seq")
         arrivals = reached.select("snippet_id", F.col("target").alias("name"), "seq", F.lit(False).alias("old"))
         known = state.select("snippet_id", "name", "seq", F.lit(True).alias("old"))
-        state = written(_merged(known.unionByName(arrivals)), f"{folder}/state-{turn}")
+        state, fresh = _round(known.unionByName(arrivals), f"{folder}/state-{turn}")
     return state.drop("fresh")
 
 
+def _round(taints: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """One round's table, and how many of its names are fresh, counted while it is written."""
+    seen = Observation()
+    merged = _merged(taints).observe(seen, F.count_if("fresh").alias("fresh"))
+    return written(merged, path), seen.get["fresh"]
+
+
 def _merged(taints: DataFrame) -> DataFrame:
     """Earliest taint per name; ``fresh`` marks names that are new or earlier than before."""
     had = F.min(F.when(F.col("old"), F.col("seq")))
