@@ -79,7 +79,7 @@ def credential_state(now: Column, expires_at: Column, skew_us: int = REFRESH_SKE
 
 
 def refresh_points(
-    requests: DataFrame, invalidations: DataFrame, keys: list[str], ttl_us: int,
+    requests: DataFrame, invalidations: DataFrame | None, keys: list[str], ttl_us: int,
     at: str = "at_us", tie: str = "request_id", skew_us: int = REFRESH_SKEW_SECONDS * SECOND,
 ) -> DataFrame:
     """Requests that renew the credential; the others reuse it.

@@ -163,9 +163,7 @@ def _good_requests(spark, sf):
 
 def _refresh(with_resets):
     def query(spark, sf):
-        resets = _auth_failures(spark, sf)
-        if not with_resets:
-            resets = resets.filter("provider < 0")
+        resets = _auth_failures(spark, sf) if with_resets else None
         return refresh_points(_good_requests(spark, sf), resets, ["provider"], TTL).select("request_id", "provider", "at_us")
 
     hold = TTL - 300 * SECOND
@@ -225,7 +223,8 @@ WHERE regexp_full_match(trim(entry), '-?[0-9]+')"""
 
 
 def _allowed(spark, sf):
-    return table(spark, sf, "customer", "c_custkey").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"))
+    funded = table(spark, sf, "customer", "c_custkey", "c_acctbal").filter("c_acctbal > 3000")
+    return funded.select(F.col("c_custkey").alias("user_id"))
 
 
 def r10(spark, sf):
@@ -234,7 +233,7 @@ def r10(spark, sf):
     return yes.unionByName(unauthorised(commands, allowed).withColumn("allowed", F.lit(False))).select("update_id", "allowed")
 
 
-R10_SQL = f"""WITH {_COMMANDS} SELECT update_id, user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) AS allowed FROM commands"""
+R10_SQL = f"""WITH {_COMMANDS} SELECT update_id, user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 3000) AS allowed FROM commands"""
 
 
 def r12(spark, sf):
