@@ -31,14 +31,17 @@ def local_session(app: str = "emberwatch", cores: int | str = "*", partitions: i
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir`` when the cluster names one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder every executor can reach: ``spark.checkpoint.dir``, which a cluster must name.
+
+    Only a local master, whose executors are this process, may leave it unset; it then gets a folder of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    return tempfile.mkdtemp(prefix="emberwatch-")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="emberwatch-"))
+    return spark.conf.get("spark.checkpoint.dir")
 
 
 def run_dir(spark: SparkSession, label: str) -> str:
