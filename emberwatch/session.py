@@ -40,8 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="emberwatch-"))
-    return spark.conf.get("spark.checkpoint.dir")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="emberwatch-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def run_dir(spark: SparkSession, label: str) -> str:
