@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["bpe", "packing"]
+MODULES = ["fingerprints", "token_counts", "quality_rules", "bpe", "packing"]
 
 
 def llm_plans() -> dict:
