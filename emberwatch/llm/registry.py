@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["fingerprints", "token_counts", "quality_rules", "bpe", "packing"]
+MODULES = ["token_counts", "quality_rules", "bpe", "fingerprints", "packing", "substrings", "suffixes"]
 
 
 def llm_plans() -> dict:

@@ -53,13 +53,13 @@ def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def text_blocks(column: pa.Array, overlap: int):
+def text_blocks(column: pa.Array, overlap: int, at_space: bool = False):
     """Cut a batch of texts into blocks of about BLOCK_BYTES bytes for numpy.
 
     Yields (data, rows, at, own): bytes of the block with one newline after each piece; for each piece its
     row, its offset in the row's text, and (start, end) in the block. A text longer than a block comes as pieces
     that repeat ``overlap`` bytes of their predecessor, so every stretch of up to overlap + 1 bytes is
-    whole in some piece. Nulls are empty texts.
+    whole in some piece; with at_space pieces end at white space if a block has any. Nulls are empty texts.
     """
     column = column.cast(pa.large_binary())
     if column.null_count:
@@ -72,6 +72,8 @@ def text_blocks(column: pa.Array, overlap: int):
         at = start
         while True:
             stop = min(end, at + BLOCK_BYTES)
+            if at_space and stop < end:
+                stop = _space_before(data, at, stop, end)
             pieces.append((row, at - start, at, stop))
             size += stop - at
             if size >= BLOCK_BYTES:
@@ -84,6 +86,17 @@ def text_blocks(column: pa.Array, overlap: int):
         yield _block(data, pieces)
 
 
+def _space_before(data: np.ndarray, start: int, stop: int, end: int) -> int:
+    """The last white space of data[start:stop], else the first one after, else the end."""
+    while stop < end:
+        part = data[start:stop]
+        found = np.flatnonzero((part == 32) | ((part >= 9) & (part <= 13)))
+        if len(found) and found[-1]:
+            return start + int(found[-1])
+        stop = min(end, stop + BLOCK_BYTES)
+    return end
+
+
 def _block(data: np.ndarray, pieces: list):
     parts, bounds, place = [], [], 0
     newline = np.array([10], np.uint8)
@@ -153,22 +166,56 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
-def sampled_starts(hashes: np.ndarray, span: int) -> np.ndarray:
-    """Positions of the smallest hash in each ``span`` consecutive ones, leftmost among equals.
+def least_positions(hashes: np.ndarray, span: int) -> np.ndarray:
+    """For each ``span`` consecutive hashes the position of the smallest, leftmost among equals (at 40 bits).
 
-    Equal stretches select equal relative positions, so two equal stretches of ``span`` hashes share a selected one.
-    Needs less than 2**24 positions.
+    Equal stretches have it at equal relative positions, so two equal stretches of hashes share what stands there.
     """
     n = len(hashes)
     if n < span:
         return np.zeros(0, np.int64)
     low = np.uint64((1 << 24) - 1)
-    least = (hashes & ~low) | np.arange(n, dtype=np.uint64)
-    width = 1
-    while width * 2 <= span:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if span > width:
-        least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-    at = (least & low).astype(np.int64)
-    return at[np.flatnonzero(np.diff(at, prepend=-1))]
+    step = 1 << 23
+    out = []
+    for at in range(0, n - span + 1, step):
+        part = hashes[at : at + step + span - 1]
+        least = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        width = 1
+        while width * 2 <= span:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if span > width:
+            least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
+        out.append((least & low).astype(np.int64) + at)
+    return np.concatenate(out)
+
+
+_TO_LOWER = np.arange(256, dtype=np.uint8)
+_TO_LOWER[65:91] += 32
+
+
+def word_blocks(column: pa.Array, lower: bool = False):
+    """Word hashes of a batch of texts, in blocks of whole texts: (row of each word, hash of each word).
+
+    Words are runs without \\x20 and \\x09-\\x0D; ``lower`` turns A-Z to a-z. Nulls have no words.
+    """
+    rows_kept, hashes_kept, size = [], [], 0
+    for data, rows, _, bounds in text_blocks(column, 0, at_space=True):
+        data = _TO_LOWER[data] if lower else data
+        starts, ends = word_spans(data)
+        hashes = span_hashes(prefix_hashes(data), starts, ends)
+        rows_kept.append(rows[np.searchsorted(bounds[:, 1], starts, side="right")])
+        hashes_kept.append(hashes)
+        size += len(hashes)
+        last = int(rows[-1])
+        if size >= 1 << 17:
+            # The last text of the block may go on in the next one.
+            row, value = np.concatenate(rows_kept), np.concatenate(hashes_kept)
+            cut = int(np.searchsorted(row, last))
+            if cut:
+                yield row[:cut], value[:cut]
+            rows_kept, hashes_kept, size = [row[cut:]], [value[cut:]], 0 if cut else size
+    if rows_kept:
+        row, value = np.concatenate(rows_kept), np.concatenate(hashes_kept)
+        if len(row):
+            yield row, value
