@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["token_counts", "quality_rules", "bpe", "fingerprints", "packing", "substrings", "jaccard_join", "suffixes"]
+MODULES = ["token_counts", "quality_rules", "bpe", "fingerprints", "quality_classifier", "packing", "substrings", "jaccard_join", "suffixes"]
 
 
 def llm_plans() -> dict:
