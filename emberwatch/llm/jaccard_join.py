@@ -26,7 +26,8 @@ SHINGLE_WORDS, PERCENT = 5, 80
 COUNT_SHINGLES, COUNT_FROM = 1 << 20, 4
 #: Frequencies sent to every task, of the most frequent shingles. All others count as rare in the order, which needs no exact frequency.
 FREQUENCIES = 1 << 17
-MOST_MATCHES = 16
+#: Candidates expected per shingle that is not among the frequencies, and the most matches that are asked for.
+RARE_CANDIDATES, MOST_MATCHES = 0.2, 64
 
 
 def shingle_sets(column: pa.Array, words: int, lower: bool = True) -> Iterator[tuple[int, np.ndarray]]:
@@ -44,8 +45,8 @@ def shingle_sets(column: pa.Array, words: int, lower: bool = True) -> Iterator[t
 
 def set_key(shingles: np.ndarray) -> int:
     """64-bit hash of a set."""
-    total = np.bitwise_xor.reduce(mix(shingles)) + mix(np.array([shingles.sum() + np.uint64(len(shingles))], np.uint64))[0]
-    return int(np.uint64(total).view(np.int64))
+    total = int(np.bitwise_xor.reduce(mix(shingles))) + int(mix(shingles.sum(keepdims=True) + np.uint64(len(shingles)))[0])
+    return (total + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
 def _describe(words: int):
@@ -87,7 +88,7 @@ def prefix_choice(frequency: np.ndarray, percent: int, most: int = MOST_MATCHES)
     base = n - -(-percent * n // 100)
     sizes = np.minimum(base + np.arange(1, most + 1), n)
     sizes = sizes[: max(1, n - base)]  # l-prefixes are no longer than the set
-    candidates = np.concatenate([[0], np.cumsum(frequency)])[sizes] / np.arange(1, len(sizes) + 1)
+    candidates = np.concatenate([[0], np.cumsum(frequency + RARE_CANDIDATES)])[sizes] / np.arange(1, len(sizes) + 1)
     # A row to deal costs about as much as 20 shingles to compare, a candidate its own shingles.
     return int(np.argmin(sizes * 20 + candidates * n)) + 1
 
@@ -131,6 +132,9 @@ def _postings(words: int, percent: int, frequent: np.ndarray, counts: np.ndarray
     return postings
 
 
+SHARED = "h long, c long, n int, level short, l short, least short, hub long, hub_need short, before long, before_need short"
+
+
 def _shared(percent: int):
     """Rows sorted by h, n, c: those of an h that several classes have, with the class to be compared first (hub) and the one before."""
 
@@ -171,8 +175,14 @@ def _runs(table: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
     least = (run.astype(np.int64) << 32) | -(-percent * n.astype(np.int64) // 100)
     hub = np.searchsorted(key, least)
     before = np.maximum(np.arange(len(h)) - 1, hub)
-    arrays = [pa.array(h), pa.array(c), pa.array(n, pa.int32()), pa.array(level, pa.int16()), pa.array(asked, pa.int16()), pa.array(c[hub]), pa.array(c[before])]
-    yield pa.RecordBatch.from_arrays(arrays, ["h", "c", "n", "level", "l", "hub", "before"])
+    least_asked = np.repeat(np.minimum.reduceat(asked, heads), count)
+    columns = [h, c, n, level, asked, least_asked]
+    for other in (hub, before):  # the matches the pair needs; 0 where this shingle is none of its matches
+        need = np.minimum(asked, asked[other])
+        columns += [c[other], np.where(np.maximum(level, level[other]) <= need, need, 0)]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int16(), pa.int64(), pa.int16(), pa.int64(), pa.int16()]
+    arrays = [pa.array(x, t) for x, t in zip(columns, kinds, strict=True)]
+    yield pa.RecordBatch.from_arrays(arrays, ["h", "c", "n", "level", "l", "least", "hub", "hub_need", "before", "before_need"])
 
 
 def _crossing(percent: int):
@@ -290,16 +300,21 @@ def near_duplicates(
 
     postings = base.select("text").mapInArrow(_postings(words, percent, frequent, counts), "h long, c long, n int, level short, l short")
     dealt = postings.repartition("h").sortWithinPartitions("h", "n", "c")
-    shared = kept(dealt.mapInArrow(_shared(percent), "h long, c long, n int, level short, l short, hub long, before long"), "jaccard-shared")
-
-    first = shared.select(F.col("c").alias("a"), F.col("hub").alias("b")).unionByName(shared.select(F.col("c").alias("a"), F.col("before").alias("b")))
-    first = first.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = kept(first, "jaccard-pairs")
-    # One row's text stands for each class that is compared.
-    compared = shared.select("c").distinct()
+    shared = kept(dealt.mapInArrow(_shared(percent), SHARED), "jaccard-shared")
+
+    tried = [shared.select(F.col("c").alias("a"), F.col(x).alias("b"), F.col(f"{x}_need").alias("need")) for x in ("hub", "before")]
+    counted = [
+        x.where("a != b and need > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .agg(F.max("need").alias("need"), F.count("*").alias("got")) for x in tried
+    ]
+    first = counted[0].unionByName(counted[1]).groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("got").alias("got"))
+    # Half of the matches will do here: a class may be first for some shingles only. The second step asks for all of them.
+    first = kept(first.where("2 * got >= need").select("a", "b"), "jaccard-pairs")
+    # One row's text stands for each class that may have a candidate.
+    compared = shared.groupBy("c").agg(F.count("*").alias("got"), F.min("least").alias("need")).where("got >= need").select("c")
     chosen = described.join(compared, "c").groupBy("c").agg(F.min(F.struct("key", "t")).alias("row")).select("c", "row.*")
-    texts = marked.join(chosen.withColumnsRenamed({"key": "chosen"}), "t").where(F.col("key").eqNullSafe(F.col("chosen"))).select("c", "text")
-    sets = kept(texts.mapInArrow(_sets(words), "c long, shingles array<long>").dropDuplicates(["c"]), "jaccard-sets")
+    texts = marked.join(chosen.withColumnsRenamed({"key": "chosen"}), "t").where(F.col("key").eqNullSafe(F.col("chosen"))).dropDuplicates(["t"])
+    sets = kept(texts.select("c", "text").mapInArrow(_sets(words), "c long, shingles array<long>"), "jaccard-sets")
     links = kept(_verified(first, sets, percent), "jaccard-links")
     found = components(links)
 
