@@ -24,7 +24,8 @@ RANGE_ROWS, MOST_RANGES = 2_000, 2_000
 def sketch(text: Column, size: int = SKETCH_SIZE, words: int = SHINGLE_WORDS) -> Column:
     """Bottom-k sketch, array<long>. Fewer words than a shingle has are one shingle; no words or null: an empty sketch."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    return _sketch_of_words(found, size, words)
+    # A lambda's variable holds the words, so that they are found once and not for every shingle.
+    return F.get(F.transform(F.array(found), lambda held: _sketch_of_words(held, size, words)), 0)
 
 
 def _sketch_of_words(found: Column, size: int, words: int) -> Column:
