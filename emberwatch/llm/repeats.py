@@ -17,7 +17,7 @@ from emberwatch.llm.shared import mix, row_key
 
 #: Anchors expected in more rows than this are dealt over all tasks instead of to one. One row in SAMPLE is counted to
 #: find them. Neither changes a result.
-HOT_ROWS, SAMPLE, MOST_HOT = 20_000, 64, 4096
+HOT_ROWS, SAMPLE, MOST_HOT = 20_000, 64, 1 << 14
 
 
 def comparable(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -39,7 +39,7 @@ def anchor_rows(find: Callable, hot: np.ndarray):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for row, at, h in find(batch.column(1)):
                 d = ids[row]
-                is_hot = np.isin(h, hot) if len(hot) else np.zeros(len(h), bool)
+                is_hot = among(h, hot)
                 k = np.where(is_hot, mix(d.astype(np.uint64) + at.astype(np.uint64)), h).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(d, pa.int64()), pa.array(at.astype(np.int32)), pa.array(k), pa.array(is_hot)],
@@ -50,11 +50,32 @@ def anchor_rows(find: Callable, hot: np.ndarray):
 
 
 def hot_anchors(base: DataFrame, find: Callable) -> np.ndarray:
-    """Hashes of anchors that very many rows have, from one row in SAMPLE."""
-    part = base.where(F.pmod(F.xxhash64("_id"), F.lit(SAMPLE)) == 0).select("_id", "_text")
+    """Ascending hashes of anchors that very many rows have, from one row in SAMPLE."""
+    return frequent_anchors(base, find, HOT_ROWS)[0]
+
+
+def frequent_anchors(base: DataFrame, find: Callable, rows_from: int, sample: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes that find yields for more than about rows_from rows, and their estimated rows; the MOST_HOT first ones."""
+    sample = sample or SAMPLE
+    part = base.where(F.pmod(F.xxhash64("_id"), F.lit(sample)) == 0).select("_id", "_text")
     rows = part.mapInArrow(anchor_rows(find, np.zeros(0, np.uint64)), ANCHORS)
-    counts = rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > HOT_ROWS)
-    return np.array([r.h for r in counts.orderBy(F.col("n").desc(), "h").limit(MOST_HOT).collect()], np.int64).view(np.uint64)
+    counts = rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") * sample > rows_from)
+    top = counts.orderBy(F.col("n").desc(), "h").limit(MOST_HOT).collect()
+    hashes = np.array([r.h for r in top], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([r.n * sample for r in top], np.int64)[order]
+
+
+def among(hashes: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Which hashes are in a short ascending list; most are ruled out by their first 16 bits."""
+    out = np.zeros(len(hashes), bool)
+    if len(few):
+        begins = np.zeros(1 << 16, bool)
+        begins[(few >> np.uint64(48)).astype(np.int64)] = True
+        maybe = np.flatnonzero(begins[(hashes >> np.uint64(48)).astype(np.int64)])
+        spot = np.minimum(np.searchsorted(few, hashes[maybe]), len(few) - 1)
+        out[maybe] = few[spot] == hashes[maybe]
+    return out
 
 
 def _repeated(within: bool):
@@ -98,7 +119,7 @@ GROUPED = "k long, h long, d long, uid long, at int, lo int, hot boolean, payloa
 SPANS = "hot boolean, h long, d long, uid long, at int, s int, e int"
 
 
-def first_groups(grouped: DataFrame, judge: Callable, batch_rows: int = 100_000) -> DataFrame:
+def first_groups(grouped: DataFrame, judge: Callable, batch_rows: int = 20_000) -> DataFrame:
     """Spans to remove from rows of GROUPED; those of one h are judged together.
 
     judge(h, d, at, lo, payloads) yields (row, start, end) for rows sorted by h, d, at; rows of a group are never parted.

@@ -17,7 +17,7 @@ from emberwatch.session import run_dir, written
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that one numpy step works on; longer texts are cut into overlapping pieces.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def tokenizer_file(name: str) -> str:

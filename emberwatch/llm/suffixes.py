@@ -20,6 +20,9 @@ from emberwatch.llm.shared import documents, kept, least_positions, mix, prefix_
 
 WINDOW_BYTES = 100
 ANCHOR_BYTES = 24
+#: An anchor in more rows than this is taken only where a window has no rarer one; which ones are is estimated and changes no result.
+#: One text in COMMON_SAMPLE is counted for it.
+COMMON_ROWS, COMMON_SAMPLE = 1_000, 256
 
 
 def suffix_rounds(table: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -52,16 +55,34 @@ def suffix_rounds(table: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np
         yield column, order, common
 
 
-def _find(width: int, short: int):
+def _find(width: int, short: int, common: np.ndarray):
     def find(column: pa.Array):
-        for row, at, anchor, grams, _, _ in _anchored(column, width, short):
+        for row, at, anchor, grams, _, _ in _anchored(column, width, short, common):
             new = np.flatnonzero(np.diff(anchor, prepend=-1))
             yield row[new], at[new], grams[anchor[new]]
 
     return find
 
 
-def _anchored(column: pa.Array, width: int, short: int):
+def _all_anchors(short: int):
+    """Every place that could be an anchor, once per hash and text."""
+
+    def find(column: pa.Array):
+        for data, rows, _, bounds in text_blocks(column, short - 1):
+            if len(data) < short:
+                continue
+            prefix, at = prefix_hashes(data), np.arange(len(data) - short + 1)
+            piece = np.minimum(np.searchsorted(bounds[:, 1], at, side="right"), len(bounds) - 1)
+            at = at[(at >= bounds[piece, 0]) & (at + short <= bounds[piece, 1])]
+            row = rows[np.searchsorted(bounds[:, 1], at, side="right")]
+            h = span_hashes(prefix, at, at + short)
+            _, once = np.unique(mix(h) + row.astype(np.uint64), return_index=True)
+            yield row[once], at[once], h[once]
+
+    return find
+
+
+def _anchored(column: pa.Array, width: int, short: int, common: np.ndarray):
     """Per window of blocks of texts: (row, place of its anchor in the text, anchor in the block; anchor hashes, block, place of the window)."""
     for data, rows, offset, bounds in text_blocks(column, width - 1):
         n = len(data) - short + 1
@@ -69,17 +90,19 @@ def _anchored(column: pa.Array, width: int, short: int):
             continue
         prefix = prefix_hashes(data)
         grams = span_hashes(prefix, np.arange(n), np.arange(n) + short)
-        anchor = least_positions(grams, width - short + 1)
-        piece = np.searchsorted(bounds[:, 1], np.arange(len(anchor)), side="right")
-        own = bounds[np.minimum(piece, len(bounds) - 1)]
+        rank = grams >> np.uint64(1)
+        rank[repeats.among(grams, common)] |= np.uint64(1 << 63)
+        anchor = least_positions(rank, width - short + 1)
         place = np.arange(len(anchor))
+        piece = np.searchsorted(bounds[:, 1], place, side="right")
+        own = bounds[np.minimum(piece, len(bounds) - 1)]
         start = np.flatnonzero((place >= own[:, 0]) & (place + width <= own[:, 1]) & (piece < len(bounds)))
         piece, anchor = piece[start], anchor[start]
         shift = offset[piece] - bounds[piece, 0]
         yield rows[piece], anchor + shift, anchor, grams, data, start
 
 
-def _extend(width: int, short: int):
+def _extend(width: int, short: int, common: np.ndarray):
     """Stretches around repeated anchors, for mapInArrow over (_id, _uid, _text, ats)."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +116,7 @@ def _extend(width: int, short: int):
             key = (owner << 32) | np.where(hot, -1 - places, places)
             ordered = np.argsort(key)
             key, hot = key[ordered], hot[ordered]
-            for row, at, anchor, grams, data, start in _anchored(batch.column(2), width, short):
+            for row, at, anchor, grams, data, start in _anchored(batch.column(2), width, short, common):
                 if not len(start) or not len(key):
                     continue
                 # One stretch per anchor: the windows that have it follow each other.
@@ -142,9 +165,12 @@ def _judge(width: int, short: int):
         lengths = np.diff(offsets).astype(np.int64)
         first = before - (at - lo).astype(np.int64)  # column of each row's first byte
         table = np.zeros((len(h), before + width), np.uint8)
-        cells = np.arange(len(data)) - np.repeat(offsets[:-1].astype(np.int64) - offsets[0], lengths)
-        owner = np.repeat(np.arange(len(h)), lengths)
-        table[owner, first[owner] + cells] = data
+        begin = offsets[:-1].astype(np.int64) - offsets[0]
+        for a in range(0, len(h), 4096):
+            rows = np.arange(a, min(a + 4096, len(h)))
+            owner = np.repeat(rows, lengths[rows])
+            source = np.arange(begin[a], begin[a] + len(owner))
+            table[owner, first[owner] + source - begin[owner]] = data[source]
         later = np.zeros((before + 1, len(h)), bool)
         for column, order, common in suffix_rounds(table, first + lengths):
             if column > before:
@@ -176,10 +202,11 @@ def remove_repeats(
     again, so they are judged like their own copies (equal rows lose the same bytes). Other columns are not looked at.
     """
     base = repeats.comparable(docs, id_col, text_col)
-    find = _find(width, short)
-    hot = repeats.hot_anchors(base, find)
+    common, rows_of = repeats.frequent_anchors(base, _all_anchors(short), COMMON_ROWS, COMMON_SAMPLE)
+    hot = common[rows_of > repeats.HOT_ROWS]
+    find = _find(width, short, common)
     ats = kept(repeats.repeated_anchors(base, find, hot, within=True), "suffix-anchors")
-    extended = base.join(ats, F.col("_id") == F.col("d")).select("_id", "_uid", "_text", "ats").mapInArrow(_extend(width, short), repeats.GROUPED)
+    extended = base.join(ats, F.col("_id") == F.col("d")).select("_id", "_uid", "_text", "ats").mapInArrow(_extend(width, short, common), repeats.GROUPED)
     spans = kept(repeats.first_groups(extended, _judge(width, short)), "suffix-spans")
     by_row = repeats.spans_by_row(spans, width, within=True)
     rows = docs.select(F.col(id_col).alias("_given"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_raw"))

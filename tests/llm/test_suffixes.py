@@ -48,6 +48,8 @@ def test_rounds_give_suffix_order_and_common_prefixes():
 def test_random_texts(spark, monkeypatch, hot_rows):
     monkeypatch.setattr(repeats, "HOT_ROWS", hot_rows)
     monkeypatch.setattr(repeats, "SAMPLE", 1)
+    monkeypatch.setattr(suffixes, "COMMON_SAMPLE", 1)
+    monkeypatch.setattr(suffixes, "COMMON_ROWS", hot_rows // 4000)
     monkeypatch.setattr(shared, "BLOCK_BYTES", 300)
     rng = random.Random(4)
     some = lambda n: "".join(rng.choice("abcé \n") for _ in range(n))
