@@ -13,22 +13,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.llm.shared import mix, row_key
+from emberwatch.llm.shared import row_key
 
-#: Anchors expected in more rows than this are dealt over all tasks instead of to one. One row in SAMPLE is counted to
+#: Windows of anchors expected in more rows than this are met in each task before they are shuffled. One row in SAMPLE is counted to
 #: find them. Neither changes a result.
 HOT_ROWS, SAMPLE, MOST_HOT = 20_000, 64, 1 << 14
 
 
 def comparable(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id long, _uid long, _text): rows with an id; nulls as empty texts."""
-    base = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")
-    )
-    return base.select("_id", row_key("_id", "_text").alias("_uid"), "_text")
+    """(_id long, _raw): rows with an id. Both joins of an operator start from exactly this, so texts cross the network once."""
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_raw"))
 
 
-ANCHORS = "h long, d long, at int, k long, hot boolean"
+def whole_text():
+    return F.coalesce(F.col("_raw"), F.lit(""))
+
+
+ANCHORS = "h long, d long, at int, hot boolean"
 
 
 def anchor_rows(find: Callable, hot: np.ndarray):
@@ -40,11 +41,8 @@ def anchor_rows(find: Callable, hot: np.ndarray):
             for row, at, h in find(batch.column(1)):
                 d = ids[row]
                 is_hot = among(h, hot)
-                k = np.where(is_hot, mix(d.astype(np.uint64) + at.astype(np.uint64)), h).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(d, pa.int64()), pa.array(at.astype(np.int32)), pa.array(k), pa.array(is_hot)],
-                    ["h", "d", "at", "k", "hot"],
-                )
+                arrays = [pa.array(h.view(np.int64)), pa.array(d, pa.int64()), pa.array(at.astype(np.int32)), pa.array(is_hot)]
+                yield pa.RecordBatch.from_arrays(arrays, ["h", "d", "at", "hot"])
 
     return anchors
 
@@ -57,7 +55,7 @@ def hot_anchors(base: DataFrame, find: Callable) -> np.ndarray:
 def frequent_anchors(base: DataFrame, find: Callable, rows_from: int, sample: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ascending hashes that find yields for more than about rows_from rows, and their estimated rows; the MOST_HOT first ones."""
     sample = sample or SAMPLE
-    part = base.where(F.pmod(F.xxhash64("_id"), F.lit(sample)) == 0).select("_id", "_text")
+    part = base.where(F.pmod(F.xxhash64("_id"), F.lit(sample)) == 0).select("_id", whole_text())
     rows = part.mapInArrow(anchor_rows(find, np.zeros(0, np.uint64)), ANCHORS)
     counts = rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") * sample > rows_from)
     top = counts.orderBy(F.col("n").desc(), "h").limit(MOST_HOT).collect()
@@ -110,19 +108,77 @@ def _repeated(within: bool):
 
 def repeated_anchors(base: DataFrame, find: Callable, hot: np.ndarray, within: bool) -> DataFrame:
     """(d, ats array<int>): places of each row's anchors that occur elsewhere too; -1 - place for hot ones."""
-    rows = base.select("_id", "_text").mapInArrow(anchor_rows(find, hot), ANCHORS)
-    dealt = rows.repartition("k").select("h", "d", "at", "hot").sortWithinPartitions("h", "d")
+    rows = base.select("_id", whole_text()).mapInArrow(anchor_rows(find, hot), ANCHORS)
+    dealt = rows.repartition(F.when(F.col("hot"), F.xxhash64("d", "at")).otherwise(F.col("h"))).sortWithinPartitions("h", "d")
     return dealt.mapInArrow(_repeated(within), "d long, at int").groupBy("d").agg(F.sort_array(F.collect_list("at")).alias("ats"))
 
 
-GROUPED = "k long, h long, d long, uid long, at int, lo int, hot boolean, payload binary"
-SPANS = "hot boolean, h long, d long, uid long, at int, s int, e int"
+#: kind 0: windows of one anchor (payload), 1: a window of a hot anchor (h: its hash, lo: its place), 2: a span found already (lo to at).
+GROUPED = "kind int, h long, d long, uid long, at int, lo int, payload binary"
+SPANS = "d long, uid long, s int, e int"
+
+
+def grouped_batch(kind: int, h, d, uid, at, lo, payload=None) -> pa.RecordBatch:
+    as_int = lambda x: pa.array(np.asarray(x).astype(np.int32))
+    arrays = [
+        pa.array(np.full(len(h), kind, np.int32)), pa.array(np.asarray(h).view(np.int64)), pa.array(d, pa.int64()), pa.array(uid, pa.int64()), as_int(at),
+        as_int(lo), pa.array([None] * len(h) if payload is None else payload, pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, ["kind", "h", "d", "uid", "at", "lo", "payload"])
+
+
+class HotWindows:
+    """Windows of hot anchors that a task has met. Of equal ones only the first can stay, so all others are spans at once, and
+    each task sends on one row per window (within), or those of the least d."""
+
+    def __init__(self, width: int, within: bool, flush_rows: int = 1 << 17):
+        self.width, self.within, self.flush_rows = width, within, flush_rows
+        self.parts: list[tuple] = []
+        self.size = self.settled = 0
+
+    def add(self, h, d, uid, lo) -> Iterator[pa.RecordBatch]:
+        self.parts.append((h, d, uid, lo.astype(np.int64)))
+        self.size += len(h)
+        if self.size > 2 * self.settled + self.flush_rows:
+            yield from self._settle()
+
+    def _settle(self) -> Iterator[pa.RecordBatch]:
+        h, d, uid, lo = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((lo, d, h))
+        h, d, uid, lo = h[order], d[order], uid[order], lo[order]
+        gone = _not_first(h, d, self.within)
+        self.parts = [(h[~gone], d[~gone], uid[~gone], lo[~gone])]
+        self.size = self.settled = int((~gone).sum())
+        yield from _as_spans(d[gone], uid[gone], lo[gone], self.width)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            yield from self._settle()
+            h, d, uid, lo = self.parts[0]
+            yield grouped_batch(1, h, d, uid, lo, lo)
+
+
+def _not_first(h: np.ndarray, d: np.ndarray, within: bool) -> np.ndarray:
+    """Rows sorted by h, d (and place) that another row of their h precedes; without ``within`` one of a smaller d."""
+    heads = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+    first = np.repeat(heads, np.diff(np.append(heads, len(h))))
+    return np.arange(len(h)) > first if within else d > d[first]
+
+
+def _as_spans(d, uid, lo, width: int) -> Iterator[pa.RecordBatch]:
+    if len(d):
+        order = np.lexsort((lo, uid, d))
+        d, uid, lo = d[order], uid[order], lo[order]
+        group = np.cumsum(np.concatenate([[False], (d[1:] != d[:-1]) | (uid[1:] != uid[:-1])]))
+        heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        g, s, e = intervals(np.ones(len(d), bool), group, lo, width)
+        yield grouped_batch(2, np.zeros(len(g), np.int64), d[heads[g]], uid[heads[g]], e, s)
 
 
-def first_groups(grouped: DataFrame, judge: Callable, batch_rows: int = 20_000) -> DataFrame:
+def first_groups(grouped: DataFrame, judge: Callable, width: int, within: bool, batch_rows: int = 20_000) -> DataFrame:
     """Spans to remove from rows of GROUPED; those of one h are judged together.
 
-    judge(h, d, at, lo, payloads) yields (row, start, end) for rows sorted by h, d, at; rows of a group are never parted.
+    judge(h, d, at, lo, payloads) gives (row, start, end) for rows sorted by h, d, at; rows of a group are never parted.
     """
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,48 +188,52 @@ def first_groups(grouped: DataFrame, judge: Callable, batch_rows: int = 20_000)
             held = table if held is None else pa.concat_tables([held, table])
             if held.num_rows < batch_rows:
                 continue
-            h = held.column("h").to_numpy()
-            cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if (h != h[-1]).any() else 0
+            kind, h = held.column("kind").to_numpy(), held.column("h").to_numpy()
+            other = np.flatnonzero((h != h[-1]) | (kind != kind[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
-                yield from _judged(held.slice(0, cut), judge)
+                yield from _judged(held.slice(0, cut), judge, width, within)
                 held = held.slice(cut)
         if held is not None and held.num_rows:
-            yield from _judged(held, judge)
+            yield from _judged(held, judge, width, within)
 
-    dealt = grouped.repartition("k").drop("k").sortWithinPartitions("hot", "h", "d", "at")
-    return dealt.mapInArrow(spans, SPANS)
+    place = F.when(F.col("kind") == 2, F.xxhash64("d", "lo")).otherwise(F.col("h"))
+    return grouped.repartition(place).sortWithinPartitions("kind", "h", "d", "at").mapInArrow(spans, SPANS)
 
 
-def _judged(table: pa.Table, judge: Callable) -> Iterator[pa.RecordBatch]:
+def _judged(table: pa.Table, judge: Callable, width: int, within: bool) -> Iterator[pa.RecordBatch]:
     table = table.combine_chunks()
-    hot = table.column("hot").to_numpy()
-    h, d, uid, at, lo = (table.column(c).to_numpy() for c in ("h", "d", "uid", "at", "lo"))
-    some = np.flatnonzero(hot)
-    if len(some):  # single windows, judged later
-        yield _span_batch(True, h[some], d[some], uid[some], at[some], lo[some], at[some])
-    calm = np.flatnonzero(~hot)
+    kind, h, d, uid, at, lo = (table.column(c).to_numpy() for c in ("kind", "h", "d", "uid", "at", "lo"))
+    done = np.flatnonzero(kind == 2)
+    if len(done):
+        yield _span_batch(d[done], uid[done], lo[done], at[done])
+    some = np.flatnonzero(kind == 1)
+    if len(some):
+        gone = some[_not_first(h[some], d[some], within)]
+        yield _span_batch(d[gone], uid[gone], lo[gone], lo[gone] + width)
+    calm = np.flatnonzero(kind == 0)
     if len(calm):
         payloads = table.column("payload").take(pa.array(calm)).combine_chunks()
         row, s, e = judge(h[calm], d[calm], at[calm], lo[calm], payloads)
         if len(row):
             own = calm[row]
-            yield _span_batch(False, h[own], d[own], uid[own], at[own], s, e)
+            yield _span_batch(d[own], uid[own], s, e)
 
 
-def _span_batch(hot, h, d, uid, at, s, e):
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-    arrays = [pa.array(np.full(len(h), hot)), *(pa.array(np.asarray(c), t) for c, t in zip((h, d, uid, at, s, e), kinds, strict=True))]
-    return pa.RecordBatch.from_arrays(arrays, ["hot", "h", "d", "uid", "at", "s", "e"])
+def _span_batch(d, uid, s, e):
+    as_int = lambda x: pa.array(np.asarray(x).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(uid, pa.int64()), as_int(s), as_int(e)], ["d", "uid", "s", "e"])
 
 
-def spans_by_row(spans: DataFrame, width: int, within: bool) -> DataFrame:
-    """(_id, _uid, spans array<struct<s, e>>) from SPANS, hot windows judged by the first row of their hash."""
-    calm = spans.where("not hot").select("d", "uid", "s", "e")
-    windows = spans.where("hot").select("h", "d", "uid", "s")
-    place = F.struct("d", "s") if within else F.struct("d")
-    firsts = windows.groupBy("h").agg(F.min(place).alias("first"))
-    later = windows.join(firsts, "h").where(place > F.col("first")).select("d", "uid", "s", (F.col("s") + width).alias("e"))
-    return calm.unionByName(later).groupBy(F.col("d").alias("_id"), F.col("uid").alias("_uid")).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+def with_spans(docs: DataFrame, base: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_given, _raw, spans array<struct<s, e>>) of every row of docs; null where there is none."""
+    by_id = spans.groupBy("d").agg(F.collect_set(F.struct("uid", "s", "e")).alias("found"))
+    joined = base.join(by_id, F.col("_id") == F.col("d"), "left").withColumn("_uid", row_key("_id", "_raw"))
+    own = F.transform(F.filter("found", lambda x: x.uid == F.col("_uid")), lambda x: F.struct(x.s.alias("s"), x.e.alias("e")))
+    kind = docs.schema[id_col].dataType
+    rows = joined.select(F.col("_id").cast(kind).alias("_given"), "_raw", own.alias("spans"))
+    nameless = docs.where(F.col(id_col).isNull()).select(F.col(id_col).alias("_given"), F.col(text_col).alias("_raw"))
+    return rows.unionByName(nameless.withColumn("spans", F.lit(None).cast("array<struct<s: int, e: int>>")))
 
 
 def intervals(flags: np.ndarray, group: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

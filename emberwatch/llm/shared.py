@@ -50,7 +50,7 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 def row_key(id_col: str, text_col: str):
     """Key of a row's content. Rows that repeat id and text share it, and so share every result."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
 
 def text_blocks(column: pa.Array, overlap: int, at_space: bool = False):

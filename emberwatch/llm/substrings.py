@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.llm import repeats
-from emberwatch.llm.shared import documents, kept, least_positions, mix, window_hashes, word_blocks
+from emberwatch.llm.shared import documents, kept, least_positions, row_key, window_hashes, word_blocks
 
 WINDOW_WORDS = 13
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,6 +53,7 @@ def _extend(width: int):
     """Windows of the judged length around repeated anchors, for mapInArrow over (_id, _uid, _text, ats)."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = repeats.HotWindows(width, within=False)
         for batch in batches:
             ids, uids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             ats = batch.column(3)
@@ -77,8 +78,7 @@ def _extend(width: int):
                 r = row[w]
                 some = np.flatnonzero(is_hot)
                 if len(some):
-                    k = mix(values[some] + (ids[r[some]].astype(np.uint64) & np.uint64(63)))
-                    yield _rows(k, values[some], ids[r[some]], uids[r[some]], at[some], lo[some], True, [None] * len(some))
+                    yield from windows.add(values[some], ids[r[some]], uids[r[some]], lo[some])
                 calm = np.flatnonzero(~is_hot)
                 if len(calm):
                     new = np.concatenate([[True], (a[calm][1:] != a[calm][:-1]) | (w[calm][1:] != w[calm][:-1] + 1)])
@@ -88,19 +88,12 @@ def _extend(width: int):
                     payload = [raw[8 * s : 8 * e] for s, e in zip(first.tolist(), stops.tolist(), strict=True)]
                     c = calm[first]
                     h = grams[a[c]]
-                    yield _rows(h, h, ids[r[c]], uids[r[c]], at[c], lo[c], False, payload)
+                    yield repeats.grouped_batch(0, h, ids[r[c]], uids[r[c]], at[c], lo[c], payload)
+        yield from windows.rest()
 
     return extend
 
 
-def _rows(k, h, d, uid, at, lo, hot, payload):
-    arrays = [
-        pa.array(k.view(np.int64)), pa.array(h.view(np.int64)), pa.array(d, pa.int64()), pa.array(uid, pa.int64()), pa.array(at), pa.array(lo),
-        pa.array(np.full(len(h), hot)), pa.array(payload, pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(arrays, ["k", "h", "d", "uid", "at", "lo", "hot", "payload"])
-
-
 def _judge(width: int):
     """Windows whose hash a row of a smaller d has too. Equal windows have equal anchors, so groups can be judged at once."""
 
@@ -133,12 +126,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     find = _find(width)
     hot = repeats.hot_anchors(base, find)
     ats = kept(repeats.repeated_anchors(base, find, hot, within=False), "substring-anchors")
-    extended = base.join(ats, F.col("_id") == F.col("d")).select("_id", "_uid", "_text", "ats").mapInArrow(_extend(width), repeats.GROUPED)
-    spans = kept(repeats.first_groups(extended, _judge(width)), "substring-spans")
-    by_row = repeats.spans_by_row(spans, width, within=False)
-    rows = docs.select(F.col(id_col).alias("_given"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_raw"))
-    rows = rows.withColumn("_text", F.coalesce("_raw", F.lit(""))).withColumn("_uid", F.xxhash64("_id", "_text")).drop("_text")
-    joined = rows.join(by_row, ["_id", "_uid"], "left").select("_given", "_raw", "spans")
+    found = base.join(ats, F.col("_id") == F.col("d")).select("_id", row_key("_id", "_raw"), repeats.whole_text(), "ats")
+    spans = repeats.first_groups(found.mapInArrow(_extend(width), repeats.GROUPED), _judge(width), width, within=False)
+    joined = repeats.with_spans(docs, base, spans, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     cut = joined.mapInArrow(_cut, f"_given {kind}, _raw string, n_words long, n_removed long, removed array<struct<s: int, e: int>>, kept_text string")
     return cut.withColumnsRenamed({"_given": id_col, "_raw": text_col})

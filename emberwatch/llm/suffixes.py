@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.llm import repeats
-from emberwatch.llm.shared import documents, kept, least_positions, mix, prefix_hashes, span_hashes, text_blocks
+from emberwatch.llm.shared import documents, kept, least_positions, mix, prefix_hashes, row_key, span_hashes, text_blocks
 
 WINDOW_BYTES = 100
 ANCHOR_BYTES = 24
@@ -106,6 +106,7 @@ def _extend(width: int, short: int, common: np.ndarray):
     """Stretches around repeated anchors, for mapInArrow over (_id, _uid, _text, ats)."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = repeats.HotWindows(width, within=True)
         for batch in batches:
             ids, uids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             ats = batch.column(3)
@@ -133,28 +134,19 @@ def _extend(width: int, short: int, common: np.ndarray):
                     raw = data.tobytes()
                     payload = [raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
                     h = grams[anchor[a]]
-                    yield _rows(h, h, ids[row[a]], uids[row[a]], at[a], lo + shift[calm], False, payload)
+                    yield repeats.grouped_batch(0, h, ids[row[a]], uids[row[a]], at[a], lo + shift[calm], payload)
                 some = sel[is_hot]
                 if len(some):
                     prefix = prefix_hashes(data)
                     w = np.concatenate([np.arange(new[x], stop[x]) for x in some.tolist()])
                     owners = np.repeat(some, stop[some] - new[some])
                     values = span_hashes(prefix, start[w], start[w] + width)
-                    d = ids[row[w]]
-                    k = mix(values + (d.astype(np.uint64) & np.uint64(63)))
-                    yield _rows(k, values, d, uids[row[w]], at[w], start[w] + shift[owners], True, [None] * len(w))
+                    yield from windows.add(values, ids[row[w]], uids[row[w]], start[w] + shift[owners])
+        yield from windows.rest()
 
     return extend
 
 
-def _rows(k, h, d, uid, at, lo, hot, payload):
-    arrays = [
-        pa.array(k.view(np.int64)), pa.array(h.view(np.int64)), pa.array(d, pa.int64()), pa.array(uid, pa.int64()), pa.array(at.astype(np.int32)),
-        pa.array(lo.astype(np.int32)), pa.array(np.full(len(h), hot)), pa.array(payload, pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(arrays, ["k", "h", "d", "uid", "at", "lo", "hot", "payload"])
-
-
 def _judge(width: int, short: int):
     """Windows that an earlier row of the collection has too; rows come in the order in which they count as earlier."""
     before = width - short  # columns before the anchor
@@ -206,12 +198,9 @@ def remove_repeats(
     hot = common[rows_of > repeats.HOT_ROWS]
     find = _find(width, short, common)
     ats = kept(repeats.repeated_anchors(base, find, hot, within=True), "suffix-anchors")
-    extended = base.join(ats, F.col("_id") == F.col("d")).select("_id", "_uid", "_text", "ats").mapInArrow(_extend(width, short, common), repeats.GROUPED)
-    spans = kept(repeats.first_groups(extended, _judge(width, short)), "suffix-spans")
-    by_row = repeats.spans_by_row(spans, width, within=True)
-    rows = docs.select(F.col(id_col).alias("_given"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_raw"))
-    rows = rows.withColumn("_text", F.coalesce("_raw", F.lit(""))).withColumn("_uid", F.xxhash64("_id", "_text")).drop("_text")
-    joined = rows.join(by_row, ["_id", "_uid"], "left").select("_given", "_raw", "spans")
+    found = base.join(ats, F.col("_id") == F.col("d")).select("_id", row_key("_id", "_raw"), repeats.whole_text(), "ats")
+    spans = repeats.first_groups(found.mapInArrow(_extend(width, short, common), repeats.GROUPED), _judge(width, short), width, within=True)
+    joined = repeats.with_spans(docs, base, spans, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     cut = joined.mapInArrow(_cut, f"_given {kind}, _raw string, n_bytes long, n_removed long, removed array<struct<s: int, e: int>>, kept binary")
     return cut.withColumnsRenamed({"_given": id_col, "_raw": text_col})
