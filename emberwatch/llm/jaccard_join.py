@@ -4,9 +4,9 @@ A text is the set of its shingles. Texts of equal sets are one class. In one ord
 share at least l of the shingles in their l-prefixes. Each class takes the l whose estimated cost is least: frequent shingles in a prefix
 cost candidates, a longer prefix costs rows. Candidates share as many prefix shingles as the smaller l of the two asks for.
 
-Components come in two steps, so that a group of copies is not expanded into its pairs: first each class is verified against one or two classes
-per prefix shingle; then pairs that share enough prefix shingles are verified if they are not in one component yet. No link is lost: a
-pair that links is verified, or its classes are in one component already.
+Components come in steps, so that a group of copies is not expanded into its pairs: in each turn a class is verified against a few classes of
+other components, as long as that finds links; then all pairs that share enough prefix shingles are verified if they are not
+in one component yet. No link is lost: a pair that links is verified, or its classes are in one component already.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberwatch.llm.graph import components
@@ -23,11 +24,13 @@ from emberwatch.llm.shared import documents, kept, mix, window_hashes, word_bloc
 
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Shingles counted together; those found COUNT_FROM times among them add to the frequency of a shingle.
-COUNT_SHINGLES, COUNT_FROM = 1 << 20, 4
+COUNT_SHINGLES, COUNT_FROM = 1 << 22, 3
 #: Frequencies sent to every task, of the most frequent shingles. All others count as rare in the order, which needs no exact frequency.
 FREQUENCIES = 1 << 17
 #: Candidates expected per shingle that is not among the frequencies, and the most matches that are asked for.
 RARE_CANDIDATES, MOST_MATCHES = 0.2, 64
+#: Partners of a class that one turn verifies.
+PARTNERS = 3
 
 
 def shingle_sets(column: pa.Array, words: int, lower: bool = True) -> Iterator[tuple[int, np.ndarray]]:
@@ -132,32 +135,11 @@ def _postings(words: int, percent: int, frequent: np.ndarray, counts: np.ndarray
     return postings
 
 
-SHARED = "h long, c long, n int, level short, l short, least short, hub long, hub_need short, before long, before_need short"
-
-
-def _shared(percent: int):
-    """Rows sorted by h, n, c: those of an h that several classes have, with the class to be compared first (hub) and the one before."""
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            table = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-            if held is not None:
-                table = [np.concatenate([a, b]) for a, b in zip(held, table, strict=True)]
-            h = table[0]
-            if not len(h):
-                continue
-            cut = len(h) - int(np.argmax((h != h[-1])[::-1])) if h[0] != h[-1] else 0
-            held = [x[cut:] for x in table]
-            if cut:
-                yield from _runs([x[:cut] for x in table], percent)
-        if held is not None:
-            yield from _runs(held, percent)
-
-    return shared
+SHARED = "h long, c long, n int, level short, l short, least short"
 
 
 def _runs(table: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by h, n, c: those of an h that several classes have, and the least matches that one of them asks for."""
     h, c, n, level, asked = table
     again = np.concatenate([[False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])])  # a class that several tasks gave
     h, c, n, level, asked = (x[~again] for x in table)
@@ -169,26 +151,15 @@ def _runs(table: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
     h, c, n, level, asked = (x[several] for x in (h, c, n, level, asked))
     heads = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
     count = np.diff(np.append(heads, len(h)))
-    run = np.repeat(np.arange(len(heads)), count)
-    # The first of the run that is not too short: positions of (run, n) keys, which ascend.
-    key = (run.astype(np.int64) << 32) | n
-    least = (run.astype(np.int64) << 32) | -(-percent * n.astype(np.int64) // 100)
-    hub = np.searchsorted(key, least)
-    before = np.maximum(np.arange(len(h)) - 1, hub)
-    least_asked = np.repeat(np.minimum.reduceat(asked, heads), count)
-    columns = [h, c, n, level, asked, least_asked]
-    for other in (hub, before):  # the matches the pair needs; 0 where this shingle is none of its matches
-        need = np.minimum(asked, asked[other])
-        columns += [c[other], np.where(np.maximum(level, level[other]) <= need, need, 0)]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int16(), pa.int64(), pa.int16(), pa.int64(), pa.int16()]
-    arrays = [pa.array(x, t) for x, t in zip(columns, kinds, strict=True)]
-    yield pa.RecordBatch.from_arrays(arrays, ["h", "c", "n", "level", "l", "least", "hub", "hub_need", "before", "before_need"])
-
-
-def _crossing(percent: int):
-    """Rows sorted by h, n: pairs of classes of different components that may link, with the matches they need."""
+    columns = [h, c, n, level, asked, np.repeat(np.minimum.reduceat(asked, heads), count)]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int16()]
+    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["h", "c", "n", "level", "l", "least"])
+
 
-    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_run(work, percent: int):
+    """work on whole runs of h, for mapInArrow over rows sorted by h."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             table = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
@@ -200,14 +171,30 @@ def _crossing(percent: int):
             cut = len(h) - int(np.argmax((h != h[-1])[::-1])) if h[0] != h[-1] else 0
             held = [x[cut:] for x in table]
             if cut:
-                yield from _cross([x[:cut] for x in table], percent)
+                yield from work([x[:cut] for x in table], percent)
         if held is not None:
-            yield from _cross(held, percent)
+            yield from work(held, percent)
+
+    return runs
+
 
-    return crossing
+def _neighbours(table: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by h, n: each with the next row of its run that is of another component, if lengths allow a link."""
+    h, c, n, level, asked, root = table
+    changes = np.flatnonzero(root[1:] != root[:-1])
+    i = np.arange(len(h))
+    spot = np.searchsorted(changes, i)
+    i = i[spot < len(changes)]
+    j = changes[spot[: len(i)]] + 1
+    need = np.minimum(asked[i], asked[j])
+    good = (h[i] == h[j]) & (percent * n[j].astype(np.int64) <= 100 * n[i].astype(np.int64)) & (np.maximum(level[i], level[j]) <= need)
+    i, j, need = i[good], j[good], need[good]
+    if len(i):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i]), pa.array(c[j]), pa.array(need, pa.int16())], ["c", "other", "need"])
 
 
 def _cross(table: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by h, n: pairs of classes of different components that may link, with the matches they need."""
     h, c, n, level, asked, root = table
     left, right, size = [], [], 0
     heads = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
@@ -268,6 +255,10 @@ def _set_batch(batch, keys, values):
     return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), lists], ["c", "shingles"])
 
 
+def _rooted(shared: DataFrame, found: DataFrame) -> DataFrame:
+    return shared.join(found.withColumnRenamed("node", "c"), "c", "left").select("h", "c", "n", "level", "l", F.coalesce("root", "c").alias("root"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose likeness reaches the percentage, compared exactly."""
     one = sets.select(F.col("c").alias("a"), F.col("shingles").alias("x"))
@@ -300,30 +291,39 @@ def near_duplicates(
 
     postings = base.select("text").mapInArrow(_postings(words, percent, frequent, counts), "h long, c long, n int, level short, l short")
     dealt = postings.repartition("h").sortWithinPartitions("h", "n", "c")
-    shared = kept(dealt.mapInArrow(_shared(percent), SHARED), "jaccard-shared")
-
-    tried = [shared.select(F.col("c").alias("a"), F.col(x).alias("b"), F.col(f"{x}_need").alias("need")) for x in ("hub", "before")]
-    counted = [
-        x.where("a != b and need > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .agg(F.max("need").alias("need"), F.count("*").alias("got")) for x in tried
-    ]
-    first = counted[0].unionByName(counted[1]).groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("got").alias("got"))
-    # Half of the matches will do here: a class may be first for some shingles only. The second step asks for all of them.
-    first = kept(first.where("2 * got >= need").select("a", "b"), "jaccard-pairs")
+    shared = kept(dealt.mapInArrow(_by_run(_runs, percent), SHARED), "jaccard-shared")
+
     # One row's text stands for each class that may have a candidate.
     compared = shared.groupBy("c").agg(F.count("*").alias("got"), F.min("least").alias("need")).where("got >= need").select("c")
     chosen = described.join(compared, "c").groupBy("c").agg(F.min(F.struct("key", "t")).alias("row")).select("c", "row.*")
     texts = marked.join(chosen.withColumnsRenamed({"key": "chosen"}), "t").where(F.col("key").eqNullSafe(F.col("chosen"))).dropDuplicates(["t"])
     sets = kept(texts.select("c", "text").mapInArrow(_sets(words), "c long, shingles array<long>"), "jaccard-sets")
-    links = kept(_verified(first, sets, percent), "jaccard-links")
+    nothing = docs.sparkSession.createDataFrame([], "a long, b long")
+    links = tried = nothing
     found = components(links)
-
-    rooted = shared.join(found.withColumnRenamed("node", "c"), "c", "left").select(
-        "h", "c", "n", "level", "l", F.coalesce("root", "c").alias("root")
-    )
-    crossing = rooted.repartition("h").sortWithinPartitions("h", "n", "c").mapInArrow(_crossing(percent), "a long, b long, need long, got long")
+    turn = 0
+    while True:
+        turn += 1
+        # Neighbours in a run differ from turn to turn among equal lengths. The best partners only, and half of the matches
+        # will do: these turns are to join what is easily joined, the last step is to be complete.
+        near = _rooted(shared, found).repartition("h").sortWithinPartitions("h", "n", F.xxhash64("c", F.lit(turn)))
+        near = near.mapInArrow(_by_run(_neighbours, percent), "c long, other long, need short").groupBy("c", "other")
+        near = near.agg(F.max("need").alias("need"), F.count("*").alias("got")).where("2 * got >= need")
+        best = F.row_number().over(W.partitionBy("c").orderBy(F.col("got").desc(), "other"))
+        fresh = near.withColumn("place", best).where(F.col("place") <= PARTNERS)
+        fresh = fresh.select(F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b")).distinct()
+        fresh = kept(fresh.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        new = kept(_verified(fresh, sets, percent), "jaccard-links")
+        tried, n_tried, n_new = tried.unionByName(fresh), fresh.count(), new.count()
+        if n_new:
+            links = links.unionByName(new)
+            found = components(links)
+        if n_new * 50 <= n_tried:
+            break
+    crossing = _rooted(shared, found).repartition("h").sortWithinPartitions("h", "n", "c")
+    crossing = crossing.mapInArrow(_by_run(_cross, percent), "a long, b long, need long, got long")
     rest = crossing.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("got").alias("got")).where("got >= need").select("a", "b")
-    more = kept(_verified(rest.join(first, ["a", "b"], "left_anti"), sets, percent), "jaccard-links")
+    more = kept(_verified(rest.join(tried, ["a", "b"], "left_anti"), sets, percent), "jaccard-links")
     found = components(links.unionByName(more))
 
     rooted = classes.join(found.withColumnRenamed("node", "c"), "c", "left").select("c", "lead", F.coalesce("root", "c").alias("root"))
