@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["token_counts", "quality_rules", "bpe", "fingerprints", "quality_classifier", "packing", "substrings", "jaccard_join", "suffixes"]
+MODULES = [
+    "line_dedup", "token_counts", "quality_rules", "bpe", "fingerprints", "quality_classifier", "packing", "substrings", "jaccard_join", "suffixes",
+    "pipeline_plan",
+]
 
 
 def llm_plans() -> dict:
