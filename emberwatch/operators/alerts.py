@@ -72,7 +72,7 @@ def code_label(code: Column) -> Column:
     Codes from 500 on are told by their digits, so no integer width limits them.
     """
     before, after = OTHER_CODE_LABEL.split("{code}")
-    server_side = F.rlike(code, F.lit("^0*([5-9][0-9]{2}|[1-9][0-9]{3,})$"))
+    server_side = F.rlike(code, F.lit(r"^0*([5-9][0-9]{2}|[1-9][0-9]{3,})\z"))
     return F.coalesce(_lookup(CODE_LABELS, code), F.when(server_side, F.concat(F.lit(before), code, F.lit(after))))
 
 

@@ -12,6 +12,13 @@ TIE_SLICE = 100_000
 BUCKET_US = 60_000_000
 
 
+def _joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join by equal values, NULL being equal to NULL."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = [left[c].eqNullSafe(renamed[f"_r_{c}"]) for c in on]
+    return left.join(renamed, same).drop(*[f"_r_{c}" for c in on])
+
+
 def sliding_count(
     events: DataFrame, at: str, tie: str, window_us: int, keys: list[str] | None = None, bucket_us: int = BUCKET_US
 ) -> DataFrame:
@@ -39,15 +46,13 @@ def sliding_count(
     openings = marks.groupBy(*keys, "_bucket").agg(F.sum("_events").alias("_total")).select(
         *keys, "_bucket", F.coalesce(F.sum("_total").over(earlier), none).alias("_opening")
     )
-    positions = marks.withColumn("_inside", F.coalesce(F.sum("_events").over(inside), none)).join(
-        openings, [*keys, "_bucket"]
-    )
+    positions = _joined(marks.withColumn("_inside", F.coalesce(F.sum("_events").over(inside), none)), openings, [*keys, "_bucket"])
     before = positions.groupBy(*place).agg(
         F.sum((F.col("_opening") + F.col("_inside")) * F.col("_sign")).alias("_before")
     )
     ranked = sliced.withColumn("_rank", F.row_number().over(Window.partitionBy(*place).orderBy(tie)))
     return (
-        ranked.join(before, place)
+        _joined(ranked, before, place)
         .withColumn("window_count", F.col("_before") + F.col("_rank"))
         .drop("_slice", "_rank", "_before")
     )

@@ -17,7 +17,7 @@ from emberwatch.functions.rules import (
 from emberwatch.functions.text import contains_any, split_lines, strip, unicode_regex
 
 FINDING = (
-    "struct<part:int,at_line:int,stage:int,item:int,seq:int,sub:int,"
+    "struct<part:int,at_line:int,stage:int,item:int,seq:int,sub:bigint,"
     "line:int,col:int,severity:string,sev_rank:int,leak_type:string,"
     "message:string,code_snippet:string,tainted_var:string,lang:string>"
 )
@@ -87,7 +87,7 @@ def _apply_rules(lines: Column, rules: list[LineRule], needles: list[str], part:
         rule = F.get(_rule_table(rules), index)
         fields = {
             "part": F.lit(part), "at_line": at["line"], "stage": F.lit(0), "item": index,
-            "seq": F.lit(0), "sub": F.lit(0), "line": at["line"], "col": F.lit(0),
+            "seq": F.lit(0), "sub": F.lit(0).cast("bigint"), "line": at["line"], "col": F.lit(0),
             "severity": rule["severity"], "sev_rank": rule["sev_rank"], "leak_type": F.lit("char_extraction"),
             "message": rule["message"], "code_snippet": at["text"], "tainted_var": F.lit(""), "lang": rule["lang"],
         }

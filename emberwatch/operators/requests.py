@@ -14,9 +14,12 @@ REFRESH_SKEW_SECONDS = 300
 _HOUR = 3600 * SECOND
 
 
-def resolve_aliases(requests: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Add ``resolved_model``. The join side is the optimiser's choice by size, here and below."""
-    targets = aliases.select(F.col("alias").alias("model"), "target")
+def resolve_aliases(requests: DataFrame, aliases: DataFrame, order: str = "target") -> DataFrame:
+    """Add ``resolved_model``. The join side is the optimiser's choice by size, here and below.
+
+    An alias that is listed again counts by its row of the greatest ``order``, so requests are never multiplied.
+    """
+    targets = aliases.groupBy(F.col("alias").alias("model")).agg(F.max_by("target", order).alias("target"))
     return requests.join(targets, "model", "left").withColumn("resolved_model", F.coalesce("target", "model")).drop("target")
 
 
@@ -25,11 +28,14 @@ def in_family(model: Column, resolved_model: Column, prefix: str) -> Column:
     return F.startswith(model, F.lit(prefix)) | F.startswith(resolved_model, F.lit(prefix))
 
 
-def correct_endpoints(requests: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Replace a base that is set but differs from the catalog's; add ``corrected``."""
-    right = catalog.filter(F.col("model_name").isNotNull() & F.col("api_base").isNotNull()).select(
-        F.col("model_name").alias("model"), F.col("api_base").alias("_base")
-    )
+def correct_endpoints(requests: DataFrame, catalog: DataFrame, order: str = "api_base") -> DataFrame:
+    """Replace a base that is set but differs from the catalog's; add ``corrected``.
+
+    A model that is listed again counts by its row of the greatest ``order``.
+    """
+    right = catalog.filter(F.col("model_name").isNotNull() & F.col("api_base").isNotNull()).groupBy(
+        F.col("model_name").alias("model")
+    ).agg(F.max_by("api_base", order).alias("_base"))
     joined = requests.join(right, "model", "left")
     wrong = F.coalesce((F.col("api_base") != "") & (F.col("api_base") != F.col("_base")), F.lit(False))
     return (

@@ -56,7 +56,7 @@ def extract(snippets: DataFrame, languages: Column | None = None) -> DataFrame:
 def judge(extracted: DataFrame) -> DataFrame:
     """Findings, tainted names and verdict per row of ``extract`` output with a ``policy`` column.
 
-    Adds ``findings`` (in reporting order), ``tainted_vars`` (sorted), ``n_findings``,
+    Adds ``parsed``, ``findings`` (in reporting order), ``tainted_vars`` (sorted), ``n_findings``,
     ``max_severity``, ``blocked``; a disabled policy gives an empty result (V7).
     """
     policy = F.col("policy")
@@ -74,7 +74,7 @@ def judge(extracted: DataFrame) -> DataFrame:
             F.when(python, whole).when(bash, F.col("_places")).otherwise(F.slice("_places", 1, 0)),
             F.when(python | bash, F.col("_facts")).otherwise(F.slice("_facts", 1, 0)),
             lambda place, fact: F.struct(
-                place.alias("place"), fact["visits"].alias("visits"),
+                place.alias("place"), fact["ok"].alias("ok"), fact["visits"].alias("visits"),
                 taints(
                     fact["visits"],
                     F.when((place["line"] == 0) & fact["ok"], policy["extra_sources"]).otherwise(_no_names()),
@@ -89,6 +89,8 @@ def judge(extracted: DataFrame) -> DataFrame:
     )
     own_names = F.when(python, F.sort_array(F.get("_traces", F.lit(0))["known"]["names"]))
     judged = traced.withColumns({
+        # False where a Python text was not taken by the parser: no findings then means not looked at.
+        "parsed": F.forall(F.col("_traces"), lambda t: t["ok"]),
         "findings": F.sort_array(meets_threshold(found, policy["min_rank"])),
         "tainted_vars": F.coalesce(own_names, _no_names()),
     }).drop("_rule_hits", "_multi_hits", "_places", "_facts", "_traces")

@@ -19,9 +19,30 @@ class SecretRule(NamedTuple):
 
 # Shapes of secrets and personal data looked for; written for ASCII so that any engine agrees.
 SECRET_RULES = [
-    SecretRule("token_assignment", r'''(token|secret|password|api_key) ?[=:] ?["'][0-9A-Za-z_\-]{16,}["']'''),
-    SecretRule("connection_string", r"[a-z][a-z0-9+]{2,20}://[^\s:/@]{1,64}:[^\s/@]{1,64}@[^\s/]+"),
-    SecretRule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    SecretRule("token_assignment", r'''(?i)(token|secret|password|api_key)\s*[=:]\s*["'][0-9a-z_\-]{16,}["']'''),
+    SecretRule("connection_string", r"[a-z][a-z0-9+]+://[^\s:/@]+:[^\s/@]+@[^\s/]+"),
+    # The whole block, to the end of the text if it is not closed.
+    SecretRule("private_key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(-----END [A-Z ]*PRIVATE KEY-----|\z)"),
+    # Shapes that issuers document for their own tokens.
+    SecretRule("aws_key_id", r"\b(AKIA|ASIA)[0-9A-Z]{16}\b"),
+    SecretRule("github_token", r"\b(gh[pousr]_[0-9A-Za-z]{36,}|github_pat_[0-9A-Za-z_]{22,})"),
+    SecretRule("gitlab_token", r"\bglpat-[0-9A-Za-z_\-]{20,}"),
+    SecretRule("slack_token", r"\bxox[abeoprs]-[0-9A-Za-z\-]{10,}"),
+    SecretRule("slack_webhook", r"https://hooks\.slack\.com/services/[0-9A-Za-z/]{20,}"),
+    SecretRule("stripe_key", r"\b[rs]k_(live|test)_[0-9A-Za-z]{16,}"),
+    SecretRule("google_api_key", r"\bAIza[0-9A-Za-z_\-]{35}"),
+    SecretRule("json_web_token", r"\beyJ[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]*"),
+    SecretRule("npm_token", r"\bnpm_[0-9A-Za-z]{36}\b"),
+    SecretRule("pypi_token", r"\bpypi-[0-9A-Za-z_\-]{16,}"),
+    SecretRule("sendgrid_key", r"\bSG\.[0-9A-Za-z_\-]{16,}\.[0-9A-Za-z_\-]{16,}"),
+    SecretRule("twilio_id", r"\b(AC|SK)[0-9a-f]{32}\b"),
+    SecretRule("hugging_face_token", r"\bhf_[0-9A-Za-z]{30,}"),
+    SecretRule("model_api_key", r"\bsk-[0-9A-Za-z_\-]{20,}"),
+    SecretRule("telegram_bot_token", r"\b[0-9]{8,10}:[0-9A-Za-z_\-]{35}"),
+    SecretRule("digitalocean_token", r"\bdo[opr]_v1_[0-9a-f]{64}\b"),
+    SecretRule("shopify_token", r"\bshp(at|ca|pa|ss)_[0-9a-fA-F]{32}\b"),
+    SecretRule("square_token", r"\bsq0[a-z]{3}-[0-9A-Za-z_\-]{22,}"),
+    SecretRule("azure_account_key", r"AccountKey=[0-9A-Za-z+/]{86}=="),
     SecretRule("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"),
     SecretRule("ipv4", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
     SecretRule("card_number", r"\b[0-9]{16}\b"),

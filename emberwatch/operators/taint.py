@@ -244,7 +244,7 @@ def use_findings(visits: Column, known: Column, item: Column) -> Column:
         def finding(hit: Column, index: Column) -> Column:
             fields = {
                 "part": F.lit(0), "at_line": item["line"], "stage": F.lit(1), "item": item["item"],
-                "seq": visit["seq"], "sub": rule["place"] * 100_000 + index.cast("int"),
+                "seq": visit["seq"], "sub": F.shiftleft(rule["place"].cast("bigint"), 32) + index.cast("bigint"),
                 "line": F.when(item["line"] > 0, item["line"]).otherwise(visit["line"]), "col": visit["col"],
                 "severity": rule["severity"], "sev_rank": rule["sev_rank"], "leak_type": rule["leak_type"],
                 "message": F.concat(

@@ -51,21 +51,26 @@ def _dotted(node: ast.AST) -> str | None:
 
 
 def _mentions(node: ast.AST) -> list[str]:
-    """Names whose taint an expression carries directly, in the order they are looked at."""
-    match node:
-        case ast.Name(id=name):
-            return [name]
-        case ast.Subscript(value=inner) | ast.Attribute(value=inner):
-            return _mentions(inner)
-        case ast.Call(args=args, keywords=keywords):
-            parts = [*args, *(k.value for k in keywords)]
-        case ast.BinOp(left=left, right=right):
-            parts = [left, right]
-        case ast.JoinedStr(values=values):
-            parts = [v.value for v in values if isinstance(v, ast.FormattedValue)]
-        case _:
-            parts = []
-    return [name for part in parts for name in _mentions(part)]
+    """Names whose taint an expression carries directly, in the order they are looked at, however deep it nests."""
+    names, pending = [], [node]
+    while pending:
+        match pending.pop():
+            case ast.Name(id=name):
+                names.append(name)
+            case ast.Subscript(value=inner) | ast.Attribute(value=inner):
+                pending.append(inner)
+            case ast.Call(args=args, keywords=keywords):
+                pending += reversed([*args, *(k.value for k in keywords)])
+            case ast.BinOp(left=left, right=right):
+                pending += [right, left]
+            case ast.JoinedStr(values=values):
+                pending += reversed([v.value for v in values if isinstance(v, ast.FormattedValue)])
+    return names
+
+
+def _writable(text: str | None) -> str | None:
+    """Text that UTF-8 can carry: lone surrogates, which a literal may hold, are shown as escapes."""
+    return text if text is None else text.encode("utf-8", "backslashreplace").decode("utf-8")
 
 
 def _origins(value: ast.AST) -> tuple[list[str], list[dict]]:
@@ -86,7 +91,7 @@ def _origins(value: ast.AST) -> tuple[list[str], list[dict]]:
             case ast.Call(func=ast.Name(id=name), args=args):
                 first = args[0] if args else None
                 literal = first.value if isinstance(first, ast.Constant) and isinstance(first.value, str) else None
-                atoms.append({"kind": "function", "name": name, "literal": literal})
+                atoms.append({"kind": "function", "name": name, "literal": _writable(literal)})
                 pending += args
     return list(dict.fromkeys(flows)), atoms
 
@@ -133,7 +138,7 @@ def _facts_of(node: ast.AST) -> Iterator[tuple[ast.AST, dict]]:
         case ast.For(target=target, iter=value):
             yield node, _binding("loop", [target], value)
         case ast.Subscript(value=value, slice=index):
-            detail = str(index.value) if isinstance(index, ast.Constant) else None
+            detail = _writable(str(index.value)) if isinstance(index, ast.Constant) else None
             how = {ast.Constant: "constant", ast.Slice: "slice"}.get(type(index), "dynamic")
             yield node, {"kind": "subscript", "name": how, "detail": detail, "operands": [_operand("value", value)]}
         case ast.Compare(left=left, comparators=rights):
@@ -161,26 +166,27 @@ _STATING = (
 
 
 def facts(code: str) -> dict:
-    """Facts of one snippet in visiting order; ``ok`` is false if it does not parse."""
+    """Facts of one snippet in visiting order; ``ok`` is false if the parser does not take it."""
     try:
-        pending = [ast.parse(code)]
-        lines = code.splitlines()
-        visits, seq = [], 0
-        while pending:
-            node = pending.pop()
-            for place, fact in _facts_of(node) if isinstance(node, _STATING) else ():
-                seq += 1
-                if fact["kind"] not in ("assign", "loop", "comprehension"):
-                    fact["operands"] = [o for o in fact["operands"] if o["names"]]
-                    if not fact["operands"]:
-                        continue
-                line = getattr(place, "lineno", 0)
-                text = lines[line - 1].strip() if 0 < line <= len(lines) else ""
-                visits.append({**fact, "seq": seq, "line": line, "col": getattr(place, "col_offset", 0), "code": text})
-            pending += reversed(_children(node))
-        return {"ok": True, "visits": visits}
+        tree = ast.parse(code)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return {"ok": False, "visits": []}
+    pending: list[ast.AST] = [tree]
+    lines = code.splitlines()
+    visits, seq = [], 0
+    while pending:
+        node = pending.pop()
+        for place, fact in _facts_of(node) if isinstance(node, _STATING) else ():
+            seq += 1
+            if fact["kind"] not in ("assign", "loop", "comprehension"):
+                fact["operands"] = [o for o in fact["operands"] if o["names"]]
+                if not fact["operands"]:
+                    continue
+            line = getattr(place, "lineno", 0)
+            text = lines[line - 1].strip() if 0 < line <= len(lines) else ""
+            visits.append({**fact, "seq": seq, "line": line, "col": getattr(place, "col_offset", 0), "code": text})
+        pending += reversed(_children(node))
+    return {"ok": True, "visits": visits}
 
 
 def _facts_batch(codes: pa.Array) -> pa.Array:

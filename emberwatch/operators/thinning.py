@@ -223,4 +223,5 @@ def thin(events: DataFrame, keys: list[str], at: str, tie: str, hold_us: int, **
     points = kept_points(events, keys, at, tie, hold_us, **options)
     if set(events.columns) <= {*keys, at, tie}:
         return points.select(*events.columns)
-    return events.join(points, [*keys, at, tie], "left_semi")
+    same = [events[c].eqNullSafe(points[c]) for c in (*keys, at, tie)]
+    return events.join(points, same, "left_semi")

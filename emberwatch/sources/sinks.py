@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch.operators.report import report
@@ -32,5 +32,10 @@ def signal_rows(signals: DataFrame, window_seconds: int) -> DataFrame:
 
 
 def write_signals(signals: DataFrame, window_seconds: int, path: str) -> None:
-    """Burst signals as JSON rows; the id makes a repeated write recognisable."""
-    signal_rows(signals, window_seconds).write.mode("overwrite").json(path)
+    """Add burst signals as JSON rows; earlier ones stay. ``read_signals`` gives a signal once however often it was written."""
+    signal_rows(signals, window_seconds).write.mode("append").json(path)
+
+
+def read_signals(spark: SparkSession, path: str) -> DataFrame:
+    """Every signal written to the path, once."""
+    return spark.read.json(path).dropDuplicates(["signal_id"])

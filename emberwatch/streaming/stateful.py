@@ -19,6 +19,7 @@ from emberwatch.operators.alerts import BURST_THRESHOLD, BURST_WINDOW_SECONDS, C
 from emberwatch.operators.health import Budget, Service
 from emberwatch.streaming.runner import use_rocksdb
 
+#: How late an event may come by default. Later ones are dropped by the stream, so set it to the delay that the source can have.
 WATERMARK = "10 minutes"
 
 
@@ -62,7 +63,7 @@ class _Cooldown(StatefulProcessor):
         pass
 
 
-def cooldown(classified: DataFrame, seconds: int = COOLDOWN_SECONDS) -> DataFrame:
+def cooldown(classified: DataFrame, seconds: int = COOLDOWN_SECONDS, watermark: str = WATERMARK) -> DataFrame:
     """Alertable failures of a stream after the cooldown of their fingerprint.
 
     ``classified`` has ``event_id, ts, fingerprint, label``.
@@ -71,7 +72,7 @@ def cooldown(classified: DataFrame, seconds: int = COOLDOWN_SECONDS) -> DataFram
     rows = classified.filter(F.col("label").isNotNull()).select(
         "event_id", "fingerprint", micros("ts").alias("at_us"), F.col("ts").cast("timestamp").alias("event_time")
     )
-    return rows.withWatermark("event_time", WATERMARK).groupBy("fingerprint").transformWithStateInPandas(
+    return rows.withWatermark("event_time", watermark).groupBy("fingerprint").transformWithStateInPandas(
         statefulProcessor=_Cooldown(seconds * SECOND),
         outputStructType="event_id bigint, at_us bigint, fingerprint string",
         outputMode="append",
@@ -111,7 +112,7 @@ class _WindowCount(StatefulProcessor):
 
 
 def burst_counts(
-    classified: DataFrame, window_seconds: int = BURST_WINDOW_SECONDS, threshold: int = BURST_THRESHOLD
+    classified: DataFrame, window_seconds: int = BURST_WINDOW_SECONDS, threshold: int = BURST_THRESHOLD, watermark: str = WATERMARK,
 ) -> DataFrame:
     """Exact sliding counts of alertable failures of a stream, with the burst flag.
 
@@ -129,7 +130,7 @@ def burst_counts(
             F.struct((bucket + 1).alias("bucket"), F.lit(False).alias("own")),
         )),
     )
-    counted = rows.withWatermark("event_time", WATERMARK).groupBy("bucket").transformWithStateInPandas(
+    counted = rows.withWatermark("event_time", watermark).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_WindowCount(window_us),
         outputStructType="event_id bigint, at_us bigint, window_count bigint",
         outputMode="append",
