@@ -26,11 +26,13 @@ SHINGLE_WORDS, PERCENT = 5, 80
 #: Shingles counted together; those found COUNT_FROM times among them add to the frequency of a shingle.
 COUNT_SHINGLES, COUNT_FROM = 1 << 22, 3
 #: Frequencies sent to every task, of the most frequent shingles. All others count as rare in the order, which needs no exact frequency.
-FREQUENCIES = 1 << 17
+FREQUENCIES = 1 << 19
 #: Candidates expected per shingle that is not among the frequencies, and the most matches that are asked for.
 RARE_CANDIDATES, MOST_MATCHES = 0.2, 64
-#: Partners of a class that one turn verifies.
-PARTNERS = 3
+#: Orders among equal lengths in one turn, and partners of a class that it verifies.
+ORDERS, PARTNERS = 5, 8
+#: Turns at most; what they leave is found by the last step.
+TURNS = 3
 
 
 def shingle_sets(column: pa.Array, words: int, lower: bool = True) -> Iterator[tuple[int, np.ndarray]]:
@@ -284,10 +286,10 @@ def near_duplicates(
     classes = described.where("c is not null").groupBy("c").agg(F.min("key").alias("lead"))
 
     counted = base.select("text").mapInArrow(_count(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.col("n").desc(), "h").limit(FREQUENCIES).collect()
-    frequent = np.array([r.h for r in top], np.int64).view(np.uint64)
+    top = counted.orderBy(F.col("n").desc(), "h").limit(FREQUENCIES).orderBy("h").toArrow()
+    frequent, counts = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(frequent)
-    frequent, counts = frequent[order], np.array([r.n for r in top], np.int64)[order]
+    frequent, counts = frequent[order], counts[order]
 
     postings = base.select("text").mapInArrow(_postings(words, percent, frequent, counts), "h long, c long, n int, level short, l short")
     dealt = postings.repartition("h").sortWithinPartitions("h", "n", "c")
@@ -301,12 +303,10 @@ def near_duplicates(
     nothing = docs.sparkSession.createDataFrame([], "a long, b long")
     links = tried = nothing
     found = components(links)
-    turn = 0
-    while True:
-        turn += 1
-        # Neighbours in a run differ from turn to turn among equal lengths. The best partners only, and half of the matches
+    for turn in range(TURNS):
+        # Neighbours in a run differ from order to order and from turn to turn among equal lengths. The best partners only, and half of the matches
         # will do: these turns are to join what is easily joined, the last step is to be complete.
-        near = _rooted(shared, found).repartition("h").sortWithinPartitions("h", "n", F.xxhash64("c", F.lit(turn)))
+        near = _rooted(shared, found).repartition("h").sortWithinPartitions("h", "n", F.xxhash64("c", F.pmod("h", F.lit(ORDERS)), F.lit(turn)))
         near = near.mapInArrow(_by_run(_neighbours, percent), "c long, other long, need short").groupBy("c", "other")
         near = near.agg(F.max("need").alias("need"), F.count("*").alias("got")).where("2 * got >= need")
         best = F.row_number().over(W.partitionBy("c").orderBy(F.col("got").desc(), "other"))
@@ -318,7 +318,7 @@ def near_duplicates(
         if n_new:
             links = links.unionByName(new)
             found = components(links)
-        if n_new * 50 <= n_tried:
+        if n_new * 10 <= n_tried:
             break
     crossing = _rooted(shared, found).repartition("h").sortWithinPartitions("h", "n", "c")
     crossing = crossing.mapInArrow(_by_run(_cross, percent), "a long, b long, need long, got long")
