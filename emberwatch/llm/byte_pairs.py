@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import json
 import re
-import unicodedata
 
 import numpy as np
 import tiktoken
@@ -113,7 +112,3 @@ def word_vocabulary(path: str | None = None) -> WordVocabulary:
     if ("words", path) not in cache:
         cache["words", path] = WordVocabulary(path)
     return cache["words", path]
-
-
-def normal(text: str) -> str:
-    return unicodedata.normalize("NFC", text)
