@@ -127,6 +127,28 @@ def decision(asks: Column, has_secret: Column) -> Column:
     return F.when(asks, "BLOCK").when(has_secret, "REDACT").otherwise("ALLOW")
 
 
+#: Bits a character from which a token is high in entropy: of hex digits alone, and any other.
+HEX_BITS, TOKEN_BITS = 3.0, 4.5
+
+
+def decisions(turns: DataFrame, vault: DataFrame) -> DataFrame:
+    """(conv_id, turn, decision) of each row of ``conv_id, turn, role, text``.
+
+    Rules (G2) and phrases (G5) are looked for in the text as it is and normalised (G1); a token of the normalised text that matches
+    a vault entry (G3) or is high in entropy (G4) is a secret of its conversation and turn.
+    """
+    seen = turns.select("conv_id", "turn", "role", "text", normalise(F.col("text")).alias("shown"))
+    held = seen.select("conv_id", "turn", F.explode(tokens(F.col("shown"))).alias("token"))
+    least = F.when(F.rlike("token", F.lit(r"^[0-9a-fA-F]+$")), HEX_BITS).otherwise(TOKEN_BITS)
+    found = entropy(held).where(F.col("entropy") >= least).select("token").unionByName(vault_matches(held, vault).select("token")).distinct()
+    flags = held.join(found, "token").select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.lit(True).alias("_flag")).distinct()
+    flagged = seen.join(flags, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn")), "left")
+    either = lambda f: f(F.col("text")) | f(F.col("shown"))
+    asks = either(lambda t: asks_for_secrets(F.col("role"), F.coalesce(t, F.lit(""))))
+    secret = either(lambda t: F.size(rule_hits(F.coalesce(t, F.lit("")))) > 0) | F.col("_flag").isNotNull()
+    return flagged.select("conv_id", "turn", decision(asks, secret).alias("decision"))
+
+
 def token_table(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Distinct tokens of each text."""
     return texts.select(key, F.explode(tokens(F.col(text))).alias("token"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberwatch.operators.secrets import (
-    EXTRACTION_PHRASES, SECRET_RULES, asks_for_secrets, decision, entropy, normalise, redact, rule_counts, rule_hits,
-    token_table, vault_matches,
+    EXTRACTION_PHRASES, SECRET_RULES, asks_for_secrets, decisions, entropy, normalise, redact, rule_counts, token_table,
+    vault_matches,
 )
 from emberwatch.plans.corpus import quoted
 from emberwatch.sources.tables import spread, table
@@ -64,10 +64,14 @@ def _counts_sql(text: str) -> str:
 _PLANTED = r'token = "([0-9a-f]{40})"'
 
 
+def _vault(docs):
+    return docs.select(F.col("doc_id").alias("secret_id"), F.regexp_extract("text", _PLANTED, 1).alias("secret")).filter("secret <> ''")
+
+
 def g3(spark, sf):
     """Documents' tokens, and the same cut to 30 characters, against the secrets planted in documents."""
     docs = _documents(spark, sf)
-    vault = docs.select(F.col("doc_id").alias("secret_id"), F.regexp_extract("text", _PLANTED, 1).alias("secret")).filter("secret <> ''")
+    vault = _vault(docs)
     whole = token_table(docs, "doc_id")
     cut = whole.select("doc_id", F.substring("token", 1, 30).alias("token"))
     matched = vault_matches(whole.unionByName(cut), vault)
@@ -127,8 +131,7 @@ _CARRYING = """concat(text, CASE CAST(turn % 4 AS INT) WHEN 1 THEN ' mail a@b.ex
 
 def g7(spark, sf):
     turns = _asking(spark, sf).withColumn("text", F.expr(_CARRYING))
-    asks = asks_for_secrets(F.col("role"), F.col("text"))
-    return turns.select("conv_id", "turn", decision(asks, F.size(rule_hits(F.col("text"))) > 0).alias("decision"))
+    return decisions(turns, _vault(_documents(spark, sf)))
 
 
 _ANY_RULE = " OR ".join(f"regexp_matches(text, {quoted(r.pattern)})" for r in SECRET_RULES)
