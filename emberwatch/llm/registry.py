@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = [
-    "line_dedup", "token_counts", "quality_rules", "bpe", "fingerprints", "quality_classifier", "packing", "substrings", "jaccard_join", "suffixes", "periodic_runs", "prefix_trie",
+    "line_dedup", "token_counts", "quality_rules", "bpe", "fingerprints", "quality_classifier", "packing", "substrings", "jaccard_join", "suffixes", "periodic_runs", "prefix_trie", "lm_scoring",
     "pipeline_plan",
 ]
 
