@@ -1,73 +1,31 @@
-"""Secret-content scan (G1-G7) and secret-looking configuration lines.
+"""Secret-content scan.
 
-Rules run as columns on whole texts. The vault match joins k-grams of distinct tokens, so copies of
-a text cost nothing extra and a hot k-gram is spread by the join like any other key.
+Rules run as columns on whole texts; what a rule needs in a text is looked for first, so most texts meet few patterns, and no pattern
+walks a text more than once. The vault match joins k-grams of distinct tokens, so copies of a text cost nothing extra, and only the
+rarest grams of an entry make candidates.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
+import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberwatch.functions.secret_rules import EXTRACTION_PHRASES, LEAST_RUN, RUN, SECRET_RULES, java
+from emberwatch.operators.redaction import CLOSE, NAMED, OPEN, ZERO_WIDTH, replace_spans
 
-class SecretRule(NamedTuple):
-    name: str
-    pattern: str
-
-
-# Shapes of secrets and personal data looked for; written for ASCII so that any engine agrees.
-SECRET_RULES = [
-    SecretRule("token_assignment", r'''(?i)(token|secret|password|api_key)\s*[=:]\s*["'][0-9a-z_\-]{16,}["']'''),
-    SecretRule("connection_string", r"[a-z][a-z0-9+]+://[^\s:/@]+:[^\s/@]+@[^\s/]+"),
-    # The whole block, to the end of the text if it is not closed.
-    SecretRule("private_key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(-----END [A-Z ]*PRIVATE KEY-----|\z)"),
-    # Shapes that issuers document for their own tokens.
-    SecretRule("aws_key_id", r"\b(AKIA|ASIA)[0-9A-Z]{16}\b"),
-    SecretRule("github_token", r"\b(gh[pousr]_[0-9A-Za-z]{36,}|github_pat_[0-9A-Za-z_]{22,})"),
-    SecretRule("gitlab_token", r"\bglpat-[0-9A-Za-z_\-]{20,}"),
-    SecretRule("slack_token", r"\bxox[abeoprs]-[0-9A-Za-z\-]{10,}"),
-    SecretRule("slack_webhook", r"https://hooks\.slack\.com/services/[0-9A-Za-z/]{20,}"),
-    SecretRule("stripe_key", r"\b[rs]k_(live|test)_[0-9A-Za-z]{16,}"),
-    SecretRule("google_api_key", r"\bAIza[0-9A-Za-z_\-]{35}"),
-    SecretRule("json_web_token", r"\beyJ[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]*"),
-    SecretRule("npm_token", r"\bnpm_[0-9A-Za-z]{36}\b"),
-    SecretRule("pypi_token", r"\bpypi-[0-9A-Za-z_\-]{16,}"),
-    SecretRule("sendgrid_key", r"\bSG\.[0-9A-Za-z_\-]{16,}\.[0-9A-Za-z_\-]{16,}"),
-    SecretRule("twilio_id", r"\b(AC|SK)[0-9a-f]{32}\b"),
-    SecretRule("hugging_face_token", r"\bhf_[0-9A-Za-z]{30,}"),
-    SecretRule("model_api_key", r"\bsk-[0-9A-Za-z_\-]{20,}"),
-    SecretRule("telegram_bot_token", r"\b[0-9]{8,10}:[0-9A-Za-z_\-]{35}"),
-    SecretRule("digitalocean_token", r"\bdo[opr]_v1_[0-9a-f]{64}\b"),
-    SecretRule("shopify_token", r"\bshp(at|ca|pa|ss)_[0-9a-fA-F]{32}\b"),
-    SecretRule("square_token", r"\bsq0[a-z]{3}-[0-9A-Za-z_\-]{22,}"),
-    SecretRule("azure_account_key", r"AccountKey=[0-9A-Za-z+/]{86}=="),
-    SecretRule("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"),
-    SecretRule("ipv4", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
-    SecretRule("card_number", r"\b[0-9]{16}\b"),
-    SecretRule("phone", r"\+?[0-9]{1,3}[ \-][0-9]{3}[ \-][0-9]{3,4}[ \-]?[0-9]{2,4}\b"),
-]
-
-# Phrases by which a message asks for secrets.
-EXTRACTION_PHRASES = [
-    r"(?i)ignore (all )?previous instructions",
-    r"(?i)(print|show|reveal|repeat|output) (me )?(your|the) (system prompt|secret|password|token|api key)",
-    r"(?i)environment variables? .*(base64|hex|reverse)",
-]
-
-# Code points that are not shown: zero-width characters and the byte order mark.
-_ZERO_WIDTH = "[" + "".join(map(chr, [0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])) + "]"
 _TOKEN = r"[A-Za-z0-9+/_=\-]{16,}"
-_HEX = r"^(?:[0-9a-fA-F]{2}){8,}$"
-_BASE64 = r"^(?:[A-Za-z0-9+/]{4}){4,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
+# Of whole tokens whose length is a multiple of 2 or 4.
+_HEX = r"^[0-9a-fA-F]{16,}$"
+_BASE64 = r"^[A-Za-z0-9+/]{16,}={0,2}$"
 
 
 def visible(text: Column) -> Column:
-    """G1: without zero-width characters and with percent escapes decoded, if they are well formed."""
-    bare = F.regexp_replace(text, _ZERO_WIDTH, "")
+    """G1: without zero-width characters and with percent escapes decoded; a percent sign that is no escape stays."""
+    bare = F.regexp_replace(text, f"[{ZERO_WIDTH}]", "")
     # A plus sign is text here, not an encoded blank.
-    decoded = F.try_url_decode(F.regexp_replace(bare, r"\+", "%2B"))
+    decoded = F.try_url_decode(F.regexp_replace(F.regexp_replace(bare, "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B"))
     return F.when(F.contains(bare, F.lit("%")), F.coalesce(decoded, bare)).otherwise(bare)
 
 
@@ -76,50 +34,85 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"({_TOKEN})"), F.lit(1)))
 
 
-def decoded_tokens(text: Column) -> Column:
-    """G1: readable texts hidden in hex or base64 tokens."""
+def opened_tokens(text: Column) -> Column:
+    """G1: (token, plain) of the tokens that hide a readable text in hex or base64."""
 
-    def plain(token: Column) -> Column:
-        raw = F.when(F.rlike(token, F.lit(_HEX)), F.try_to_binary(token, F.lit("hex"))).when(
-            F.rlike(token, F.lit(_BASE64)), F.try_to_binary(token, F.lit("base64"))
+    def opened(token: Column) -> Column:
+        raw = F.when(F.rlike(token, F.lit(_HEX)) & (F.length(token) % 2 == 0), F.try_to_binary(token, F.lit("hex"))).when(
+            F.rlike(token, F.lit(_BASE64)) & (F.length(token) % 4 == 0), F.try_to_binary(token, F.lit("base64"))
         )
-        return F.try_validate_utf8(raw.cast("string"))
+        return F.struct(token.alias("token"), F.try_validate_utf8(raw.cast("string")).alias("plain"))
 
-    shown = F.array_compact(F.transform(tokens(text), plain))
-    return F.filter(shown, lambda x: F.rlike(x, F.lit(r"^[\x20-\x7e]+$")))
+    return F.filter(F.transform(tokens(text), opened), lambda x: F.rlike(x["plain"], F.lit(r"^[\x20-\x7e]+$")))
 
 
 def normalise(text: Column) -> Column:
     """G1: visible text followed by what its tokens decode to, one per line."""
     seen = visible(text)
-    return F.concat_ws("\n", seen, decoded_tokens(seen))
+    return F.concat_ws("\n", seen, F.transform(opened_tokens(seen), lambda x: x["plain"]))
+
+
+def _table(run: bool) -> Column:
+    """Rules that need a run, or that do not, as one literal."""
+    rows = [
+        {"name": r.name, "pattern": java(r), "literals": r.literals, "tag": f"[{r.name.upper()}]", "mark": f"{OPEN}{r.name.upper()}{NAMED}$0{CLOSE}", "place": k}
+        for k, r in enumerate(SECRET_RULES) if r.run == run
+    ]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<place:int,name:string,pattern:string,literals:array<string>,tag:string,mark:string>>")
+
+
+def possible_rules(text: Column) -> Column:
+    """The rules, in order, that can match: whose literals the text has, and a long run, if they need one. Meant to be a column of
+    its own, which the functions below take."""
+    may = lambda r: (F.size(r["literals"]) == 0) | F.exists(r["literals"], lambda x: F.contains(text, x))
+    long_run = F.rlike(text, F.lit(f"(?<![{RUN}])[{RUN}]{{{LEAST_RUN}}}"))
+    nothing = F.slice(_table(True), 1, 0)
+    with_run = F.when(long_run, F.filter(_table(True), may)).otherwise(nothing)
+    return F.array_sort(F.concat(with_run, F.when(text.isNotNull(), F.filter(_table(False), may)).otherwise(nothing)))
+
+
+def any_rule(text: Column, possible: Column) -> Column:
+    """Whether a rule matches."""
+    return F.exists(possible, lambda r: F.coalesce(F.rlike(text, r["pattern"]), F.lit(False)))
 
 
 def rule_hits(text: Column) -> Column:
     """Names of the rules found in a text."""
-    return F.array_compact(
-        F.array(*[F.when(F.rlike(text, F.lit(r.pattern)), F.lit(r.name)) for r in SECRET_RULES])
-    )
+    found = F.filter(possible_rules(text), lambda r: F.coalesce(F.rlike(text, r["pattern"]), F.lit(False)))
+    return F.transform(found, lambda r: r["name"])
+
+
+def rule_counts(texts: DataFrame, text: str, *keys: str) -> DataFrame:
+    """Keys and the matches of each rule in a text, as ``n_<rule>``; NULL for a NULL text."""
+    column = F.col(text)
+    looked = texts.select(*keys, column, F.transform(possible_rules(column), lambda r: r["name"]).alias("_possible"))
+    none = F.when(column.isNotNull(), F.lit(0))
+    counts = [F.when(F.array_contains("_possible", r.name), F.regexp_count(column, F.lit(java(r)))).otherwise(none) for r in SECRET_RULES]
+    return looked.select(*keys, *[c.cast("bigint").alias(f"n_{r.name}") for c, r in zip(counts, SECRET_RULES, strict=True)])
 
 
-def rule_counts(text: Column) -> list[Column]:
-    """Matches of each rule in a text, as ``n_<rule>`` columns."""
-    return [F.regexp_count(text, F.lit(r.pattern)).cast("bigint").alias(f"n_{r.name}") for r in SECRET_RULES]
+def has_phrase(text: Column) -> Column:
+    hit = F.lit(False)
+    for _, phrase in EXTRACTION_PHRASES:
+        hit = hit | F.rlike(text, F.lit(phrase))
+    return hit
 
 
 def asks_for_secrets(role: Column, text: Column) -> Column:
     """A user message with an extraction phrase."""
-    hit = F.rlike(text, F.lit(EXTRACTION_PHRASES[0]))
-    for phrase in EXTRACTION_PHRASES[1:]:
-        hit = hit | F.rlike(text, F.lit(phrase))
-    return (role == "user") & hit
+    return (role == "user") & has_phrase(text)
 
 
-def redact(text: Column) -> Column:
+def redact(text: Column, possible: Column | None = None) -> Column:
     """Every rule match replaced by the rule's name."""
-    for rule in SECRET_RULES:
-        text = F.regexp_replace(text, rule.pattern, f"[{rule.name.upper()}]")
-    return text
+    rules = possible_rules(text) if possible is None else possible
+    return F.reduce(rules, text, lambda t, r: F.regexp_replace(t, r["pattern"], r["tag"]))
+
+
+def _marked(text: Column, possible: Column) -> Column:
+    """Every rule match put between marks, with the rule's name."""
+    bare = F.translate(text, OPEN + NAMED + CLOSE, "???")
+    return F.reduce(possible, bare, lambda t, r: F.regexp_replace(t, r["pattern"], r["mark"]))
 
 
 def decision(asks: Column, has_secret: Column) -> Column:
@@ -131,22 +124,47 @@ def decision(asks: Column, has_secret: Column) -> Column:
 HEX_BITS, TOKEN_BITS = 3.0, 4.5
 
 
-def decisions(turns: DataFrame, vault: DataFrame) -> DataFrame:
-    """(conv_id, turn, decision) of each row of ``conv_id, turn, role, text``.
+def judge(turns: DataFrame, vault: DataFrame) -> DataFrame:
+    """(conv_id, turn, decision, redacted) of each row of ``conv_id, turn, role, text``.
 
-    Rules (G2) and phrases (G5) are looked for in the text as it is and normalised (G1); a token of the normalised text that matches
-    a vault entry (G3) or is high in entropy (G4) is a secret of its conversation and turn.
+    Rules (G2) and phrases (G5) are looked for in the text as it is, in what it shows (G1) and in each text that a token hides; tokens
+    shown or hidden that match a vault entry (G3) or are high in entropy (G4) are secrets of their conversation and turn. ``redacted``
+    is the text in which all that made it one to redact is replaced: matches by the rule's name, in a hidden form with the characters
+    that hide it; tokens by VAULT or HIGH_ENTROPY, or by ENCODED if a match is hidden in them. A NULL text stays NULL and is allowed.
     """
-    seen = turns.select("conv_id", "turn", "role", "text", normalise(F.col("text")).alias("shown"))
-    held = seen.select("conv_id", "turn", F.explode(tokens(F.col("shown"))).alias("token"))
+    text, shown = F.col("text"), F.col("shown")
+    seen = turns.select("conv_id", "turn", "role", "text", visible(text).alias("shown"))
+    seen = seen.withColumns({"opened": opened_tokens(shown), "raw_rules": possible_rules(text)})
+    shown_rules = F.when(shown != text, possible_rules(shown)).otherwise(F.slice("raw_rules", 1, 0))
+    seen = seen.withColumns({"shown_rules": shown_rules, "encoded": F.filter("opened", lambda x: any_rule(x["plain"], possible_rules(x["plain"])))})
+    plain = F.transform(tokens(shown), lambda t: F.struct(t.alias("outer"), t.alias("token")))
+    inner = F.flatten(F.transform("opened", lambda x: F.transform(tokens(x["plain"]), lambda t: F.struct(x["token"].alias("outer"), t.alias("token")))))
+    held = seen.select("conv_id", "turn", F.inline(F.concat(plain, inner)))
     least = F.when(F.rlike("token", F.lit(r"^[0-9a-fA-F]+$")), HEX_BITS).otherwise(TOKEN_BITS)
-    found = entropy(held).where(F.col("entropy") >= least).select("token").unionByName(vault_matches(held, vault).select("token")).distinct()
-    flags = held.join(found, "token").select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.lit(True).alias("_flag")).distinct()
-    flagged = seen.join(flags, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn")), "left")
-    either = lambda f: f(F.col("text")) | f(F.col("shown"))
-    asks = either(lambda t: asks_for_secrets(F.col("role"), F.coalesce(t, F.lit(""))))
-    secret = either(lambda t: F.size(rule_hits(F.coalesce(t, F.lit("")))) > 0) | F.col("_flag").isNotNull()
-    return flagged.select("conv_id", "turn", decision(asks, secret).alias("decision"))
+    found = entropy(held).where(F.col("entropy") >= least).select("token", F.lit("HIGH_ENTROPY").alias("label"))
+    found = found.unionByName(vault_matches(held, vault).select("token", F.lit("VAULT").alias("label"))).groupBy("token").agg(F.max("label").alias("label"))
+    flags = held.join(found, "token").groupBy(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn")).agg(
+        F.collect_set(F.struct(F.col("outer").alias("token"), "label")).alias("flags")
+    )
+    whole = seen.join(flags, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn")), "left")
+    phrase = has_phrase(text) | has_phrase(shown) | F.exists("opened", lambda x: has_phrase(x["plain"]))
+    secret = any_rule(text, F.col("raw_rules")) | any_rule(shown, F.col("shown_rules")) | (F.size("encoded") > 0) | F.col("flags").isNotNull()
+    asks = (F.col("role") == "user") & F.coalesce(phrase, F.lit(False))
+    encoded = F.transform("encoded", lambda x: F.struct(x["token"].alias("token"), F.lit("ENCODED").alias("label")))
+    # Most texts show all there is, and rules alone redact them.
+    mapped = (shown != text) | (F.size("encoded") > 0) | F.col("flags").isNotNull()
+    spans = replace_spans(
+        F.when(mapped, text), _marked(F.when(mapped, text), F.col("raw_rules")), F.when(mapped, shown),
+        _marked(F.when(mapped & (shown != text), shown), F.col("shown_rules")), F.concat(F.coalesce("flags", F.slice(encoded, 1, 0)), encoded),
+    )
+    whole = whole.withColumns({"decision": decision(asks, F.coalesce(secret, F.lit(False))), "spans": spans})
+    redacted = F.when(mapped, F.col("spans")).otherwise(redact(text, F.col("raw_rules")))
+    return whole.select("conv_id", "turn", "decision", redacted.alias("redacted"))
+
+
+def decisions(turns: DataFrame, vault: DataFrame) -> DataFrame:
+    """(conv_id, turn, decision), see judge."""
+    return judge(turns, vault).select("conv_id", "turn", "decision")
 
 
 def token_table(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -157,34 +175,56 @@ def token_table(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 def entropy(token_rows: DataFrame) -> DataFrame:
     """Distinct tokens with the Shannon entropy of their characters in bits, to four digits.
 
-    Computed inside the row: the characters of a token are counted by its distinct ones.
+    Computed inside the row: each distinct character is counted by what is left without it.
     """
-    chars = F.split("token", "")
     n = F.length("token")
 
     def share(c: Column) -> Column:
-        p = F.size(F.filter(chars, lambda x: x == c)) / n
+        p = (n - F.length(F.replace("token", c, F.lit("")))) / n
         return -p * F.log2(p)
 
-    bits = F.aggregate(F.transform(F.array_distinct(chars), share), F.lit(0.0), lambda a, b: a + b)
+    bits = F.aggregate(F.transform(F.array_distinct(F.split("token", "")), share), F.lit(0.0), lambda a, b: a + b)
     return token_rows.select("token").distinct().withColumn("entropy", F.round(bits, 4))
 
 
-def grams(token: Column, k: int) -> Column:
-    """Distinct k-grams of a token (none if it is shorter)."""
-    last = F.length(token) - k + 1
-    return F.when(
-        last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(token, i, F.lit(k))))
-    ).otherwise(F.array().cast("array<string>"))
+#: Grams that are cut out of a token at a time.
+_PIECE = 4096
+
+
+def gram_rows(rows: DataFrame, text: str, k: int) -> DataFrame:
+    """Columns of ``rows`` but the text, and each distinct ``gram`` of k characters of its text as rows (none if it is shorter).
+
+    Texts are ASCII. They are cut into overlapping pieces first, so that no array and no row grows with the square of a long one.
+    """
+    rest = [c for c in rows.columns if c != text]
+    raw = F.col(text).cast("binary")
+    last = (F.length(raw) - k).cast("int")
+    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(_PIECE)))
+    pieces = rows.select(*rest, F.explode(F.transform(starts, lambda i: F.substring(raw, i + 1, F.lit(_PIECE + k - 1)))).alias("_piece"))
+    each = F.transform(F.sequence(F.lit(1), F.length("_piece") - k + 1), lambda i: F.substring("_piece", i, F.lit(k)).cast("string"))
+    return pieces.select(*rest, F.explode(F.array_distinct(each)).alias("gram")).distinct()
 
 
 def vault_matches(token_rows: DataFrame, vault: DataFrame, k: int = 8, min_share: float = 0.5) -> DataFrame:
     """Distinct tokens sharing at least ``min_share`` of a vault entry's k-grams.
 
-    ``vault`` has ``secret_id, secret``. The result names the entry, never its value.
+    ``vault`` has ``secret_id, secret``, ASCII; ids are unique. The result names the entry, never its value. Of an entry's n grams a match
+    shares need = max(1, ceil(min_share * n)), so one of any n - need + 1 of them: the rarest among the tokens make candidates, and only
+    these are counted in full. A gram that all tokens and entries share makes none, unless an entry has too few others.
     """
-    entries = vault.withColumn("_grams", grams(F.col("secret"), k)).withColumn("n_grams", F.size("_grams"))
-    vault_grams = entries.select("secret_id", "n_grams", F.explode("_grams").alias("gram"))
-    token_grams = token_rows.select("token").distinct().select("token", F.explode(grams(F.col("token"), k)).alias("gram"))
-    shared = token_grams.join(vault_grams, "gram").groupBy("token", "secret_id", "n_grams").agg(F.count("*").alias("n_shared"))
-    return shared.filter(F.col("n_shared") >= F.lit(min_share) * F.col("n_grams"))
+    tokens_ = token_rows.select("token").distinct().withColumn("_token", F.sha2("token", 256))
+    entry_grams = gram_rows(vault.select("secret_id", "secret"), "secret", k)
+    n_grams = Window.partitionBy("secret_id")
+    entry_grams = entry_grams.withColumn("n_grams", F.count("*").over(n_grams).cast("int"))
+    known = gram_rows(tokens_.select("_token", "token"), "token", k).join(entry_grams.select("gram").distinct(), "gram", "left_semi")
+    common = known.groupBy("gram").agg(F.count("*").alias("_common"))
+    ranked = entry_grams.join(common, "gram").withColumn("_rank", F.row_number().over(n_grams.orderBy("_common", "gram")))
+    # Grams that no token has come first; those in hand follow them.
+    absent = F.col("n_grams") - F.count("*").over(n_grams)
+    need = F.greatest(F.ceil(F.lit(min_share) * F.col("n_grams")).cast("int"), F.lit(1))
+    rare = ranked.withColumn("_absent", absent).where(F.col("_rank") + F.col("_absent") <= F.col("n_grams") - need + 1)
+    candidates = known.join(rare.select("gram", "secret_id"), "gram").select("_token", "secret_id").distinct()
+    asked = candidates.join(entry_grams, "secret_id")
+    shared = asked.join(known, ["_token", "gram"]).groupBy("_token", "secret_id", "n_grams").agg(F.count("*").alias("n_shared"))
+    found = shared.filter(F.col("n_shared") >= F.lit(min_share) * F.col("n_grams"))
+    return found.join(tokens_, "_token").select("token", "secret_id", "n_grams", "n_shared")
