@@ -85,10 +85,11 @@ def rule_hits(text: Column) -> Column:
 def rule_counts(texts: DataFrame, text: str, *keys: str) -> DataFrame:
     """Keys and the matches of each rule in a text, as ``n_<rule>``; NULL for a NULL text."""
     column = F.col(text)
-    looked = texts.select(*keys, column, F.transform(possible_rules(column), lambda r: r["name"]).alias("_possible"))
-    none = F.when(column.isNotNull(), F.lit(0))
-    counts = [F.when(F.array_contains("_possible", r.name), F.regexp_count(column, F.lit(java(r)))).otherwise(none) for r in SECRET_RULES]
-    return looked.select(*keys, *[c.cast("bigint").alias(f"n_{r.name}") for c, r in zip(counts, SECRET_RULES, strict=True)])
+    possible = possible_rules(column)
+    counted = F.map_from_entries(F.transform(possible, lambda r: F.struct(r["name"], F.regexp_count(column, r["pattern"]).cast("bigint"))))
+    looked = texts.select(*keys, F.when(column.isNotNull(), counted).alias("_counts"))
+    counts = [F.coalesce(F.try_element_at("_counts", F.lit(r.name)), F.when(F.col("_counts").isNotNull(), F.lit(0).cast("bigint"))) for r in SECRET_RULES]
+    return looked.select(*keys, *[c.alias(f"n_{r.name}") for c, r in zip(counts, SECRET_RULES, strict=True)])
 
 
 def has_phrase(text: Column) -> Column:
@@ -192,9 +193,10 @@ _PIECE = 4096
 
 
 def gram_rows(rows: DataFrame, text: str, k: int) -> DataFrame:
-    """Columns of ``rows`` but the text, and each distinct ``gram`` of k characters of its text as rows (none if it is shorter).
+    """Columns of ``rows`` but the text, and each ``gram`` of k characters of its text as rows (none if it is shorter).
 
-    Texts are ASCII. They are cut into overlapping pieces first, so that no array and no row grows with the square of a long one.
+    Texts are ASCII. They are cut into overlapping pieces first, so that no array and no row grows with the square of a long one; a gram
+    comes once per piece.
     """
     rest = [c for c in rows.columns if c != text]
     raw = F.col(text).cast("binary")
@@ -202,7 +204,7 @@ def gram_rows(rows: DataFrame, text: str, k: int) -> DataFrame:
     starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(_PIECE)))
     pieces = rows.select(*rest, F.explode(F.transform(starts, lambda i: F.substring(raw, i + 1, F.lit(_PIECE + k - 1)))).alias("_piece"))
     each = F.transform(F.sequence(F.lit(1), F.length("_piece") - k + 1), lambda i: F.substring("_piece", i, F.lit(k)).cast("string"))
-    return pieces.select(*rest, F.explode(F.array_distinct(each)).alias("gram")).distinct()
+    return pieces.select(*rest, F.explode(F.array_distinct(each)).alias("gram"))
 
 
 def vault_matches(token_rows: DataFrame, vault: DataFrame, k: int = 8, min_share: float = 0.5) -> DataFrame:
@@ -213,10 +215,11 @@ def vault_matches(token_rows: DataFrame, vault: DataFrame, k: int = 8, min_share
     these are counted in full. A gram that all tokens and entries share makes none, unless an entry has too few others.
     """
     tokens_ = token_rows.select("token").distinct().withColumn("_token", F.sha2("token", 256))
-    entry_grams = gram_rows(vault.select("secret_id", "secret"), "secret", k)
+    entry_grams = gram_rows(vault.select("secret_id", "secret"), "secret", k).distinct()
     n_grams = Window.partitionBy("secret_id")
     entry_grams = entry_grams.withColumn("n_grams", F.count("*").over(n_grams).cast("int"))
     known = gram_rows(tokens_.select("_token", "token"), "token", k).join(entry_grams.select("gram").distinct(), "gram", "left_semi")
+    known = known.distinct()
     common = known.groupBy("gram").agg(F.count("*").alias("_common"))
     ranked = entry_grams.join(common, "gram").withColumn("_rank", F.row_number().over(n_grams.orderBy("_common", "gram")))
     # Grams that no token has come first; those in hand follow them.

@@ -113,5 +113,5 @@ def test_grams_of_a_very_long_token(spark):
     got = {(r.k, r.gram) for r in gram_rows(df, "t", 8).collect()}
     assert got == {(1, "x" * 8)} | {(1, "x" * i + "y" + "x" * (7 - i)) for i in range(8)}
     long = spark.range(1).select(F.lit(1).alias("k"), F.expr("array_join(transform(sequence(1, 1200000), i -> conv(i, 10, 16)), '')").alias("t"))
-    assert gram_rows(long, "t", 8).count() > 4_000_000
+    assert gram_rows(long, "t", 8).distinct().count() > 4_000_000
     assert re.fullmatch("[0-9A-F]{8}", gram_rows(long, "t", 8).first().gram)
