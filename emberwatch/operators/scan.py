@@ -13,8 +13,9 @@ from emberwatch.operators.line_scan import (
     FINDINGS, bash_findings, detect_language, embedded_python, multi_findings, pick_languages,
 )
 from emberwatch.operators.policy import Policy, count_severity, is_blocked, max_severity, meets_threshold
-from emberwatch.operators.taint import taints, use_findings
+from emberwatch.operators.taint import traceable, use_findings
 from emberwatch.operators.taint_facts import extract_facts
+from emberwatch.operators.taint_fold import trace
 
 _NO_NAMES = "array<string>"
 
@@ -68,32 +69,30 @@ def judge(extracted: DataFrame) -> DataFrame:
     # Parsed texts with the place their findings belong to: the snippet itself (line 0), or the
     # Python bodies on its shell lines (L5), which ignore the policy's extra names.
     whole = F.array(F.struct(F.lit(0).alias("line"), F.lit(0).alias("item")))
-    traced = extracted.withColumn(
-        "_traces",
-        F.zip_with(
-            F.when(python, whole).when(bash, F.col("_places")).otherwise(F.slice("_places", 1, 0)),
-            F.when(python | bash, F.col("_facts")).otherwise(F.slice("_facts", 1, 0)),
-            lambda place, fact: F.struct(
-                place.alias("place"), fact["ok"].alias("ok"), fact["visits"].alias("visits"),
-                taints(
-                    fact["visits"],
-                    F.when((place["line"] == 0) & fact["ok"], policy["extra_sources"]).otherwise(_no_names()),
-                ).alias("known"),
-            ),
-        ),
+    places = F.when(python, whole).when(bash, F.col("_places")).otherwise(F.slice("_places", 1, 0))
+    facts = F.when(python | bash, F.col("_facts")).otherwise(F.slice("_facts", 1, 0))
+    extra = F.zip_with(
+        places, facts, lambda place, fact: F.when((place["line"] == 0) & fact["ok"], policy["extra_sources"]).otherwise(_no_names())
     )
+    judged = extracted.withColumns({"_judged": facts, "_places": places, "_extra": extra})
+    # As for the facts: lambdas may not be merged into the call.
+    fenced = judged.withColumn("_asked", F.explode(F.array(traceable(F.col("_judged"), F.col("_extra")))))
+    traced = fenced.withColumn("_traced", trace(F.col("_asked"))).drop("_asked")
+    traced = traced.withColumn("_traces", F.arrays_zip("_judged", "_places", "_traced", "_extra"))
     found = F.concat(
-        F.flatten(F.transform("_traces", lambda t: use_findings(t["visits"], t["known"], t["place"]))),
+        F.flatten(F.transform("_traces", lambda t: use_findings(t["_judged"]["names"], t["_judged"]["visits"], t["_traced"]["leaks"], t["_places"]))),
         F.when(bash, F.col("_rule_hits")).otherwise(nothing),
         F.when(enabled, pick_languages(F.col("_multi_hits"), langs)).otherwise(nothing),
     )
-    own_names = F.when(python, F.sort_array(F.get("_traces", F.lit(0))["known"]["names"]))
+    own = F.get("_traces", F.lit(0))
+    tainted = F.transform(own["_traced"]["tainted"], lambda n: F.get(own["_judged"]["names"], n))
+    own_names = F.when(python, F.sort_array(F.array_union(own["_extra"], tainted)))
     judged = traced.withColumns({
         # False where a Python text was not taken by the parser: no findings then means not looked at.
-        "parsed": F.forall(F.col("_traces"), lambda t: t["ok"]),
+        "parsed": F.forall(F.col("_traces"), lambda t: t["_judged"]["ok"]),
         "findings": F.sort_array(meets_threshold(found, policy["min_rank"])),
         "tainted_vars": F.coalesce(own_names, _no_names()),
-    }).drop("_rule_hits", "_multi_hits", "_places", "_facts", "_traces")
+    }).drop("_rule_hits", "_multi_hits", "_places", "_facts", "_judged", "_extra", "_traced", "_traces")
     return judged.withColumns({
         "n_findings": F.size("findings").cast("bigint"),
         "max_severity": max_severity(F.col("findings")),

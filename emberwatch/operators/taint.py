@@ -1,8 +1,9 @@
 """Taint tracing over facts (T2-T14, U1-U22) as columns of the snippet's own row.
 
 A name is tainted from the first binding that fires: one whose value starts at a source, or mentions
-a name tainted earlier. ``taints`` folds the bindings of a snippet in order; a use fires if one of
-the names it mentions was tainted before it. Snippets never meet, so nothing is shuffled.
+a name tainted earlier; a use fires if one of the names it mentions was tainted before it. What
+starts taint, which names look secret and what a leak means are columns; ``taint_fold`` follows the
+names of a snippet in one pass. Snippets never meet, so nothing is shuffled.
 
 ``operators.taint_graph`` states the same over edge tables, for facts that are stored as rows.
 """
@@ -20,8 +21,8 @@ from emberwatch.functions.rules import (
     is_secret_name, is_sensitive_path,
 )
 from emberwatch.operators.line_scan import FINDINGS
+from emberwatch.operators.taint_fold import ASSIGN, EXPRESSION, LOOP, USE
 
-_TAINTS = "struct<names:array<string>,seqs:array<int>>"
 BINDINGS = ("assign", "loop", "comprehension")
 
 
@@ -43,20 +44,15 @@ def starts_taint(visit: Column) -> Column:
     return F.exists(visit["atoms"], is_source)
 
 
-def secret_targets(visit: Column) -> Column:
-    """Directly assigned names that look like a secret."""
-    return F.when(visit["kind"] == "assign", F.filter(visit["plain"], is_secret_name)).otherwise(
-        F.array().cast("array<string>")
-    )
-
-
 def edge_rows(extracted: DataFrame, key: str = "snippet_id") -> DataFrame:
     """Edges of T2-T10 as rows ``key, seq, kind, target, src, origin``; ``src`` is NULL for a source.
 
     ``origin`` says what starts the taint: ``call``, ``method``, ``function``, ``subscript`` or ``name``.
     """
-    visits = extracted.select(key, F.inline(F.get("_facts", F.lit(0))["visits"])).filter(F.col("kind").isin(*BINDINGS))
-    visit = F.struct("kind", "plain")
+    visits = _visit_rows(extracted, key).filter(F.col("kind").isin(*BINDINGS))
+    of = lambda numbers: F.transform(numbers, lambda n: F.get("names", n))
+    # Directly assigned names that look like a secret.
+    secret = F.when(F.col("kind") == "assign", F.filter(of(F.col("plain")), is_secret_name)).otherwise(F.slice("names", 1, 0))
 
     def origin(atom: Column) -> Column:
         by_call = F.concat_ws(".", atom["owner"], atom["name"]).isin(SOURCE_CALLS) & atom["owner"].isNotNull()
@@ -74,50 +70,48 @@ def edge_rows(extracted: DataFrame, key: str = "snippet_id") -> DataFrame:
         return F.struct(F.lit(None).cast("string").alias("src"), label.alias("origin"))
 
     starts = F.transform(F.array_compact(F.transform("atoms", origin)), start)
-    named = edges(F.array(start(F.lit("name"))), secret_targets(visit))
-    all_edges = F.concat(edges(F.concat(starts, F.transform("flows", flow)), F.col("targets")), named)
+    named = edges(F.array(start(F.lit("name"))), secret)
+    all_edges = F.concat(edges(F.concat(starts, F.transform(of(F.col("flows")), flow)), of(F.col("targets"))), named)
     return visits.select(key, F.col("seq").cast("bigint").alias("seq"), "kind", F.inline(all_edges))
 
 
 def candidate_rows(extracted: DataFrame, key: str = "snippet_id") -> DataFrame:
     """Names each use mentions, as ``key, seq, kind, role, operand, cand_pos, cand`` rows."""
-    visits = extracted.select(key, F.inline(F.get("_facts", F.lit(0))["visits"]))
-    operands = visits.select(key, "seq", "kind", F.posexplode("operands").alias("operand", "o"))
+    operands = _visit_rows(extracted, key).select(key, "names", "seq", "kind", F.posexplode("operands").alias("operand", "o"))
+    named = F.transform("o.names", lambda n: F.get("names", n))
     return operands.select(
-        key, "seq", "kind", F.col("o.role").alias("role"), "operand", F.posexplode("o.names").alias("cand_pos", "cand")
+        key, "seq", "kind", F.col("o.role").alias("role"), "operand", F.posexplode(named).alias("cand_pos", "cand")
     )
 
 
-def taints(visits: Column, extra_names: Column) -> Column:
-    """Names and the visit that first taints each, as two aligned arrays."""
-    start = F.struct(
-        extra_names.alias("names"), F.transform(extra_names, lambda _: F.lit(-1)).alias("seqs")
-    ).cast(_TAINTS)
+def _visit_rows(extracted: DataFrame, key: str) -> DataFrame:
+    """Visits of each snippet's first text as rows, with the text's ``names``."""
+    fact = extracted.select(key, F.get("_facts", F.lit(0)).alias("fact"))
+    return fact.select(key, F.col("fact.names").alias("names"), F.inline("fact.visits"))
 
-    def step(known: Column, visit: Column) -> Column:
-        fires = starts_taint(visit) | F.arrays_overlap(known["names"], visit["flows"])
-        reached = F.when(fires, F.concat(visit["targets"], secret_targets(visit))).otherwise(secret_targets(visit))
-        fresh = F.array_except(reached, known["names"])
-        return F.when(
-            F.size(fresh) > 0,
-            F.struct(
-                F.concat(known["names"], fresh).alias("names"),
-                F.concat(known["seqs"], F.transform(fresh, lambda _: visit["seq"])).alias("seqs"),
-            ),
-        ).otherwise(known)
 
-    bindings = F.filter(visits, lambda v: v["kind"].isin(*BINDINGS))
-    return F.aggregate(bindings, start, step)
+def traceable(facts: Column, extra_names: Column) -> Column:
+    """What ``taint_fold.trace`` asks of each text of ``facts`` (T2-T7); ``extra_names`` holds a list of names per text that are
+    tainted before all."""
 
+    def followed(visit: Column) -> Column:
+        kind = F.when(visit["kind"] == "assign", ASSIGN).when(visit["kind"].isin("loop", "comprehension"), LOOP).otherwise(USE)
+        return F.struct(
+            kind.alias("kind"), starts_taint(visit).alias("starts"), visit["targets"].alias("targets"), visit["plain"].alias("plain"),
+            visit["flows"].alias("flows"), visit["operands"]["names"].alias("operands"),
+        )
 
-def tainted_before(name: Column, seq: Column, known: Column) -> Column:
-    position = F.array_position(known["names"], name).cast("int")
-    return F.coalesce(F.get(known["seqs"], position - 1) < seq, F.lit(False))
+    def numbered(names: Column, extra: Column) -> Column:
+        places = F.transform(extra, lambda x: F.array_position(names, x).cast("int") - 1)
+        return F.filter(places, lambda p: p >= 0)
 
+    def text(fact: Column, extra: Column) -> Column:
+        return F.struct(
+            numbered(fact["names"], extra).alias("given"), F.transform(fact["names"], is_secret_name).alias("secret"),
+            F.transform(fact["visits"], followed).alias("visits"),
+        )
 
-def first_tainted(names: Column, seq: Column, known: Column) -> Column:
-    """The first mentioned name that is tainted by now, or NULL."""
-    return F.get(F.filter(names, lambda n: tainted_before(n, seq, known)), F.lit(0))
+    return F.zip_with(facts, extra_names, text)
 
 
 class UseRule(NamedTuple):
@@ -200,23 +194,6 @@ def _applies(rule: Column, visit: Column) -> Column:
     return (rule["kind"] == visit["kind"]) & ((rule["by"] == "any") | named)
 
 
-def _tainted_operands(visit: Column, known: Column) -> Column:
-    """Operands of a use with the name each leaks; loops fall back to the value test."""
-    whole = F.when(
-        visit["kind"].isin("loop", "comprehension")
-        & (starts_taint(visit) | F.exists(visit["flows"], lambda n: tainted_before(n, visit["seq"], known))),
-        F.lit("tainted_expression"),
-    )
-    named = F.transform(
-        visit["operands"],
-        lambda o: F.struct(
-            o["role"].alias("role"),
-            F.coalesce(first_tainted(o["names"], visit["seq"], known), whole).alias("var"),
-        ),
-    )
-    return F.filter(named, lambda o: o["var"].isNotNull())
-
-
 def _message(rule: Column, visit: Column, var: Column) -> Column:
     """The rule's message with the tainted name and the visit's own words filled in."""
     text = rule["message"]
@@ -225,18 +202,19 @@ def _message(rule: Column, visit: Column, var: Column) -> Column:
     return text
 
 
-def use_findings(visits: Column, known: Column, item: Column) -> Column:
+def use_findings(names: Column, visits: Column, leaks: Column, item: Column) -> Column:
     """T14 with U1-U22: findings of one text in visiting order; ``item`` names its place in the snippet."""
-    can_leak = (F.size(known["names"]) > 0) | F.exists(
-        visits, lambda v: v["kind"].isin("loop", "comprehension") & starts_taint(v)
-    )
-    with_hits = F.filter(
-        F.transform(
-            F.filter(visits, lambda v: v["kind"] != "assign"),
-            lambda v: F.struct(v.alias("visit"), _tainted_operands(v, known).alias("hits")),
-        ),
-        lambda x: F.size(x["hits"]) > 0,
-    )
+
+    def leaking(leak: Column) -> Column:
+        visit = F.get(visits, leak["at"])
+
+        def hit(x: Column) -> Column:
+            var = F.when(x["name"] == EXPRESSION, F.lit("tainted_expression")).otherwise(F.get(names, x["name"]))
+            return F.struct(F.get(visit["operands"]["role"], x["operand"]).alias("role"), var.alias("var"))
+
+        return F.struct(visit.alias("visit"), F.transform(leak["hits"], hit).alias("hits"))
+
+    with_hits = F.transform(leaks, leaking)
 
     def of_rule(rule: Column, x: Column) -> Column:
         visit = x["visit"]
@@ -260,4 +238,4 @@ def use_findings(visits: Column, known: Column, item: Column) -> Column:
         rules = F.filter(_rule_table(), lambda r: _applies(r, x["visit"]))
         return F.flatten(F.transform(rules, lambda r: of_rule(r, x)))
 
-    return F.when(can_leak, F.flatten(F.transform(with_hits, of_visit))).otherwise(F.array().cast(FINDINGS))
+    return F.coalesce(F.flatten(F.transform(with_hits, of_visit)), F.array().cast(FINDINGS))

@@ -15,25 +15,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _ATOM = "struct<kind:string,owner:string,name:string,literal:string>"
-_OPERAND = "struct<role:string,names:array<string>>"
+_OPERAND = "struct<role:string,names:array<int>>"
+# Names are numbers, counted from 0 in ``names`` of the text, so that each is judged once and compared as a number.
 VISIT = (
     "struct<seq:int,kind:string,name:string,bare:string,method:string,detail:string,"
-    "line:int,col:int,code:string,targets:array<string>,plain:array<string>,"
-    f"flows:array<string>,atoms:array<{_ATOM}>,operands:array<{_OPERAND}>>"
+    "line:int,col:int,code:string,targets:array<int>,plain:array<int>,"
+    f"flows:array<int>,atoms:array<{_ATOM}>,operands:array<{_OPERAND}>>"
 )
-FACTS = f"array<struct<ok:boolean,visits:array<{VISIT}>>>"
-
-_TEXT = pa.string()
-_ARROW_FACTS = pa.list_(pa.struct([
-    ("ok", pa.bool_()),
-    ("visits", pa.list_(pa.struct([
-        ("seq", pa.int32()), ("kind", _TEXT), ("name", _TEXT), ("bare", _TEXT), ("method", _TEXT),
-        ("detail", _TEXT), ("line", pa.int32()), ("col", pa.int32()), ("code", _TEXT),
-        ("targets", pa.list_(_TEXT)), ("plain", pa.list_(_TEXT)), ("flows", pa.list_(_TEXT)),
-        ("atoms", pa.list_(pa.struct([("kind", _TEXT), ("owner", _TEXT), ("name", _TEXT), ("literal", _TEXT)]))),
-        ("operands", pa.list_(pa.struct([("role", _TEXT), ("names", pa.list_(_TEXT))]))),
-    ]))),
-]))
+FACTS = f"array<struct<ok:boolean,names:array<string>,visits:array<{VISIT}>>>"
 
 _LEAVES = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop, ast.alias)
 _COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
@@ -163,35 +152,93 @@ def _facts_of(node: ast.AST) -> Iterator[tuple[ast.AST, dict]]:
 _STATING = (
     ast.Assign, ast.AnnAssign, ast.For, ast.Subscript, ast.Compare, ast.JoinedStr, ast.Call, *_COMPREHENSIONS,
 )
-
-
-def facts(code: str) -> dict:
-    """Facts of one snippet in visiting order; ``ok`` is false if the parser does not take it."""
-    try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return {"ok": False, "visits": []}
-    pending: list[ast.AST] = [tree]
-    lines = code.splitlines()
-    visits, seq = [], 0
-    while pending:
-        node = pending.pop()
-        for place, fact in _facts_of(node) if isinstance(node, _STATING) else ():
-            seq += 1
-            if fact["kind"] not in ("assign", "loop", "comprehension"):
-                fact["operands"] = [o for o in fact["operands"] if o["names"]]
-                if not fact["operands"]:
-                    continue
-            line = getattr(place, "lineno", 0)
-            text = lines[line - 1].strip() if 0 < line <= len(lines) else ""
-            visits.append({**fact, "seq": seq, "line": line, "col": getattr(place, "col_offset", 0), "code": text})
-        pending += reversed(_children(node))
-    return {"ok": True, "visits": visits}
+_BINDING_KINDS = ("assign", "loop", "comprehension")
+_TEXTS, _NUMBERS = ("kind", "name", "bare", "method", "detail", "code"), ("seq", "line", "col")
+
+
+def _lists(ends: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), values)
+
+
+class _Facts:
+    """Facts of a batch of texts, gathered column by column."""
+
+    def __init__(self) -> None:
+        self.ok, self.names, self.name_ends, self.visit_ends = [], [], [], []
+        self.fields: dict[str, list] = {f: [] for f in (*_TEXTS, *_NUMBERS)}
+        self.numbered: dict[str, tuple[list, list]] = {f: ([], []) for f in ("targets", "plain", "flows")}
+        self.atoms, self.atom_ends = {f: [] for f in ("kind", "owner", "name", "literal")}, []
+        self.roles, self.operand_ends, self.mentioned, self.mention_ends = [], [], [], []
+
+    def add(self, code: str) -> None:
+        """Facts of one snippet in visiting order; ``ok`` is false if the parser does not take it."""
+        try:
+            tree = ast.parse(code)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            tree = None
+        self.ok.append(tree is not None)
+        table: dict[str, int] = {}
+        pending: list[ast.AST] = [tree] if tree else []
+        lines = code.splitlines()
+        seq = 0
+        while pending:
+            node = pending.pop()
+            for place, fact in _facts_of(node) if isinstance(node, _STATING) else ():
+                seq += 1
+                operands = fact.get("operands", ())
+                if fact["kind"] not in _BINDING_KINDS:
+                    operands = [o for o in operands if o["names"]]
+                    if not operands:
+                        continue
+                line = getattr(place, "lineno", 0)
+                text = lines[line - 1].strip() if 0 < line <= len(lines) else ""
+                self._visit(table, fact, operands, seq, line, getattr(place, "col_offset", 0), text)
+            pending += reversed(_children(node))
+        self.names += table
+        self.name_ends.append(len(self.names))
+        self.visit_ends.append(len(self.fields["kind"]))
+
+    def _visit(self, table: dict[str, int], fact: dict, operands: list[dict], seq: int, line: int, col: int, code: str) -> None:
+        for field, value in (("seq", seq), ("line", line), ("col", col), ("code", code)):
+            self.fields[field].append(value)
+        for field in ("kind", "name", "bare", "method", "detail"):
+            self.fields[field].append(fact.get(field))
+        for field, (values, ends) in self.numbered.items():
+            for name in fact.get(field, ()):
+                values.append(table.setdefault(name, len(table)))
+            ends.append(len(values))
+        for atom in fact.get("atoms", ()):
+            for field, values in self.atoms.items():
+                values.append(atom.get(field))
+        self.atom_ends.append(len(self.atoms["kind"]))
+        for operand in operands:
+            self.roles.append(operand["role"])
+            for name in operand["names"]:
+                self.mentioned.append(table.setdefault(name, len(table)))
+            self.mention_ends.append(len(self.mentioned))
+        self.operand_ends.append(len(self.roles))
+
+    def column(self, text_ends: list[int]) -> pa.Array:
+        atoms = pa.StructArray.from_arrays([pa.array(v, pa.string()) for v in self.atoms.values()], list(self.atoms))
+        mentions = _lists(self.mention_ends, pa.array(self.mentioned, pa.int32()))
+        operands = pa.StructArray.from_arrays([pa.array(self.roles, pa.string()), mentions], ["role", "names"])
+        columns = {f: pa.array(self.fields[f], pa.string() if f in _TEXTS else pa.int32()) for f in self.fields}
+        columns |= {f: _lists(ends, pa.array(values, pa.int32())) for f, (values, ends) in self.numbered.items()}
+        columns |= {"atoms": _lists(self.atom_ends, atoms), "operands": _lists(self.operand_ends, operands)}
+        order = ["seq", "kind", "name", "bare", "method", "detail", "line", "col", "code", "targets", "plain", "flows", "atoms", "operands"]
+        visits = _lists(self.visit_ends, pa.StructArray.from_arrays([columns[f] for f in order], order))
+        names = _lists(self.name_ends, pa.array(self.names, pa.string()))
+        return _lists(text_ends, pa.StructArray.from_arrays([pa.array(self.ok, pa.bool_()), names, visits], ["ok", "names", "visits"]))
 
 
 def _facts_batch(codes: pa.Array) -> pa.Array:
-    rows = [None if batch is None else [facts(code) for code in batch] for batch in codes.to_pylist()]
-    return pa.array(rows, type=_ARROW_FACTS)
+    """No texts, and so no facts, where there is no list of them."""
+    facts, ends = _Facts(), []
+    for texts in codes.to_pylist():
+        for code in texts or ():
+            facts.add(code)
+        ends.append(len(facts.ok))
+    return facts.column(ends)
 
 
 def extract_facts(codes: Column) -> Column:
