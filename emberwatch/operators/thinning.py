@@ -1,220 +1,207 @@
 """Greedy thinning: keep an event if the key kept none within the hold time before it.
 
 Whether an event is kept depends on the last *kept* one, so a window over neighbours is not enough,
-and one ordered walk per key would put a hot key into one task. Here time is cut into blocks. All a
-block needs to know of the past is the earliest time at which an event may be kept again, so each
-block is a non-decreasing step function of that time: ``array<struct<upto, out>>``, ``out`` NULL for
-"unchanged". Functions are composed over runs of blocks, then over a key, and the entry times are
-handed down again. The heavy shuffle is by (key, block); what is composed is far smaller.
+and one ordered walk per key would put a hot key into one task. But from each event it is known which
+one would be kept next: the first at or after its release. The kept events are those that can be reached
+from a key's first one.
+
+Time is cut into blocks. A pass over the rows of each (key, block) follows the events among which a block can be
+entered, those of its first hold, to where they leave it; so a block leaves a few pointers from event to
+event. Ways begin where a key has been silent for a hold. Pointers are doubled in join rounds, as many as the logarithm of the
+longest stretch of blocks without such a silence, which give the events at which each block is entered, and a second pass
+follows these through their blocks. Rows are dealt by (key, block) and nothing is collected.
 
 Resets (for instance a revoked credential) end a hold early: an event after the reset is kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
-
-_FAR = np.iinfo(np.int64).max
-_LONG_AGO = -(2**62)  # also marks "unchanged" in numpy form
-_STEPS = "array<struct<upto:bigint,out:bigint>>"
-_ENTRIES = "array<struct<id:bigint,entry:bigint>>"
-
-
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    """A list column as one numpy view per row."""
-    offsets = column.offsets.to_numpy()
-    values = column.values.to_numpy(zero_copy_only=False)
-    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-
-
-def _structs(sizes: list[int], **fields: np.ndarray | pa.Array) -> pa.Array:
-    """A column of lists of structs from flat fields."""
-    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-    flat = pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], names=list(fields))
-    return pa.ListArray.from_arrays(offsets, flat)
-
-
-def _steps(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
-    upto = np.concatenate([u for u, _ in rows]) if rows else np.array([], dtype=np.int64)
-    out = np.concatenate([o for _, o in rows]) if rows else np.array([], dtype=np.int64)
-    return _structs([len(u) for u, _ in rows], upto=upto, out=pa.array(out, mask=out == _LONG_AGO))
-
-
-def _merged(points: np.ndarray, out: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps with equal results joined; the last one reaches for ever."""
-    value = np.where(same, _LONG_AGO, out)
-    last = np.append(value[1:] != value[:-1], True)
-    upto = points[last]
-    upto[-1] = _FAR
-    return upto, value[last]
-
-
-def _parts(column: pa.Array) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
-    """Rows of ``array<struct<id, steps>>`` as (id, upto, out) in order of ``id``."""
-    outer, parts = column.offsets.to_numpy(), column.values
-    ids, steps = parts.field("id").to_numpy(), parts.field("steps")
-    inner = steps.offsets.to_numpy()
-    upto = steps.values.field("upto").to_numpy()
-    out = steps.values.field("out").fill_null(_LONG_AGO).to_numpy()
-    return [
-        [(int(ids[i]), upto[inner[i]:inner[i + 1]], out[inner[i]:inner[i + 1]]) for i in a + np.argsort(ids[a:b])]
-        for a, b in zip(outer[:-1], outer[1:], strict=True)
-    ]
-
-
-def _release(kept: np.ndarray, hold: int, resets: np.ndarray) -> np.ndarray:
-    """When a key may keep again after keeping at ``kept``."""
-    free = kept + hold
-    if len(resets):
-        at = np.searchsorted(resets, kept)
-        reset = np.append(resets, _FAR - 1)[at]
-        free = np.minimum(free, reset + 1)
-    return free
-
-
-def _walk(entries: np.ndarray, times: np.ndarray, hold: int, resets: np.ndarray) -> np.ndarray:
-    """Times at which keeping is possible again after the block, for all entry times at once."""
-    free = entries.copy()
+from pyspark.sql import types as T
+
+from emberwatch.operators.carry import carry_last
+from emberwatch.session import run_dir, written
+
+ENTRY, POINT = 0, 1
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in order, cut only where a group begins (``_pos`` is 1)."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        begins = np.flatnonzero(batch.column("_pos").to_numpy() == 1)
+        if len(begins):
+            if held or begins[-1]:
+                yield pa.Table.from_batches([*held, batch.slice(0, begins[-1])])
+            held = []
+            batch = batch.slice(begins[-1])
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Blocks:
+    """Points of whole groups on one line: a group's times, from its block's start, follow those of the group before."""
+
+    def __init__(self, rows: pa.Table, group: np.ndarray, width: int) -> None:
+        self.stride, self.group = width + 1, group
+        start = rows.column("_block").to_numpy() * width
+        self.at = group * self.stride + rows.column("_at").to_numpy() - start
+        free = np.minimum(rows.column("_free").to_numpy() - start, width)
+        n = len(self.at)
+        self.ends = np.append(np.flatnonzero(np.diff(group)) + 1, n) if n else np.zeros(0, np.int64)
+        following = np.searchsorted(self.at, group * self.stride + free)
+        inside = following < self.ends[np.searchsorted(self.ends, np.arange(n), side="right")] if n else following < 0
+        #: The point kept after each, if it is in the same block; else the number of points.
+        self.next = np.append(np.where(inside, following, n), n)
+
+    def leaving(self) -> np.ndarray:
+        """The last point of each point's way through the block."""
+        n = len(self.at)
+        last, ahead = np.arange(n + 1), self.next
+        while (ahead < n).any():
+            last = np.where(ahead < n, last[ahead], last)
+            ahead = ahead[ahead]
+        return last[:n]
+
+    def enterable(self, longest: int) -> np.ndarray:
+        """Points at which a block can be entered: the first of each time in its first hold, and the first after that."""
+        n = len(self.at)
+        if not n:
+            return np.zeros(0, bool)
+        early = self.at - self.group * self.stride < longest
+        before = np.append(-1, np.arange(n - 1))
+        begins = np.append(True, self.group[1:] != self.group[:-1])
+        first_late = ~early & (begins | early[before])
+        return (early | first_late) & (begins | (self.at != self.at[before]))
+
+
+def _groups(rows: pa.Table) -> np.ndarray:
+    return np.cumsum(rows.column("_pos").to_numpy() == 1)
+
+
+def _leaving(width: int, longest: int) -> Callable:
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            blocks = _Blocks(rows, _groups(rows), width)
+            chosen = np.flatnonzero(blocks.enterable(longest))
+            out = rows.column("_free").to_numpy()[blocks.leaving()[chosen]]
+            group = blocks.group[chosen]
+            last = rows.column("_at").to_numpy()[blocks.ends[np.searchsorted(blocks.ends, chosen, side="right")] - 1]
+            opens = np.append(True, group[1:] != group[:-1]) if len(group) else np.zeros(0, bool)
+            picked = rows.select(["_key", "_at"]).take(chosen)
+            for name, values in (("_out", pa.array(out, pa.int64())), ("_last", pa.array(last, pa.int64())), ("_opens", pa.array(opens))):
+                picked = picked.append_column(name, values)
+            yield from picked.combine_chunks().to_batches()
+
+    return of_batches
+
+
+def _walked(width: int) -> Callable:
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            group = _groups(rows)
+            is_entry = rows.column("_kind").to_numpy() == ENTRY
+            entry_groups, entered = group[is_entry], rows.filter(pa.array(is_entry))
+            points = rows.filter(pa.array(~is_entry))
+            blocks = _Blocks(points, group[~is_entry], width)
+            offset = entered.column("_at").to_numpy() - entered.column("_block").to_numpy() * width
+            at = np.searchsorted(blocks.at, entry_groups * blocks.stride + offset)
+            kept = np.zeros(len(blocks.at) + 1, bool)
+            while len(at := at[at < len(blocks.at)]):
+                kept[at] = True
+                at = blocks.next[at]
+            yield from points.filter(pa.array(kept[:-1])).select(["_key", "_at", "_tie"]).combine_chunks().to_batches()
+
+    return of_batches
+
+
+def _counted(rows: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """A written table and how many rows it has."""
+    seen = Observation()
+    table = written(rows.observe(seen, F.count(F.lit(1)).alias("n")), path)
+    return table, seen.get["n"]
+
+
+def _reached(starts: DataFrame, pointers: DataFrame, folder: str) -> DataFrame:
+    """``_key, _at`` of the starts, which lie in the folder, and all points on the ways from them, by doubling ``_key, _at, _to``; no way
+    leads to a start."""
+    paths = [f"{folder}/starts"]
+    so_far = lambda: pointers.sparkSession.read.schema(starts.schema).parquet(*paths)
+    jumps = pointers
     while True:
-        at = np.searchsorted(times, free)
-        live = at < len(times)
-        if not live.any():
-            return free
-        free[live] = _release(times[at[live]], hold, resets)
-
-
-def _block_steps(hold: int):
-    def of_batch(times: pa.Array, resets: pa.Array, start: pa.Array) -> pa.Array:
-        rows = []
-        for t, r, s in zip(_lists(times), _lists(resets), start.to_pylist(), strict=True):
-            if len(t) == 1 and not len(r):
-                rows.append((np.array([t[0], _FAR]), np.array([t[0] + hold, _LONG_AGO])))
-                continue
-            latest = s + hold  # no hold reaches further into the block
-            points = np.unique(np.append(t[t < latest], latest))
-            cap = r[0] + 1 if len(r) else _FAR
-            out = _walk(np.minimum(points, cap), t, hold, r)
-            rows.append(_merged(points, out, (np.searchsorted(t, points) >= len(t)) & (points <= cap)))
-        return _steps(rows)
-
-    return of_batch
-
-
-def _compose(hold: int, width: int):
-    def of_batch(parts: pa.Array, start: pa.Array) -> pa.Array:
-        rows = []
-        for functions, s in zip(_parts(parts), start.to_pylist(), strict=True):
-            latest = s * width + hold
-            points = np.unique(np.concatenate([[latest], *[u[u < latest] for _, u, _ in functions]]))
-            value, same = points.copy(), np.ones(len(points), dtype=bool)
-            for _, upto, out in functions:
-                result = out[np.searchsorted(upto, value)]
-                unchanged = result == _LONG_AGO
-                value = np.where(unchanged, value, result)
-                same &= unchanged
-            rows.append(_merged(points, value, same))
-        return _steps(rows)
-
-    return of_batch
-
-
-def _hand_down(parts: pa.Array, entry: pa.Array) -> pa.Array:
-    """Entry time of each part, given the entry time of the first."""
-    ids, entries, sizes = [], [], []
-    for functions, value in zip(_parts(parts), entry.to_pylist(), strict=True):
-        sizes.append(len(functions))
-        for part, upto, out in functions:
-            ids.append(part)
-            entries.append(value)
-            result = int(out[upto.searchsorted(value)])
-            value = value if result == _LONG_AGO else result
-    return _structs(sizes, id=np.array(ids, dtype=np.int64), entry=np.array(entries, dtype=np.int64))
-
-
-def _kept_positions(hold: int):
-    def of_batch(times: pa.Array, resets: pa.Array, entry: pa.Array) -> pa.Array:
-        rows = []
-        for t, r, free in zip(_lists(times), _lists(resets), entry.to_pylist(), strict=True):
-            kept = []
-            if len(r):
-                free = min(free, int(r[0]) + 1)
-            at = int(np.searchsorted(t, free))
-            while at < len(t):
-                kept.append(at)
-                free = int(_release(t[at:at + 1], hold, r)[0])
-                at = int(np.searchsorted(t, free))
-            rows.append(kept)
-        return pa.array(rows, type=pa.list_(pa.int32()))
-
-    return of_batch
+        # As many points again: those that lie as many steps further as were found so far.
+        path = f"{folder}/reached-{len(paths)}"
+        _, more = _counted(so_far().join(jumps, ["_key", "_at"]).select("_key", F.col("_to").alias("_at")), path)
+        if not more:
+            return so_far()
+        paths.append(path)
+        further = jumps.select("_key", F.col("_at").alias("_to"), F.col("_to").alias("_then"))
+        doubled = jumps.join(further, ["_key", "_to"]).select("_key", "_at", F.col("_then").alias("_to"))
+        jumps, left = _counted(doubled, f"{folder}/jumps-{len(paths)}")
+        if not left:
+            return so_far()
+
+
+def _next_at_or_after(rows: DataFrame, marks: DataFrame, at: str, name: str, width: int) -> DataFrame:
+    """``rows`` with ``name``: the first time of ``marks`` (``_key, _at``) of the key at or after its ``at``; on time run backwards, the last."""
+    # The carrying has columns of its own names.
+    ahead = marks.select(F.col("_key").alias("_of"), (-F.col("_at")).alias("_back"), F.lit(0).alias("_order"), F.col("_at").alias("_mark"))
+    asked = rows.withColumns({"_back": -F.col(at), "_order": F.lit(1)}).withColumnRenamed("_key", "_of")
+    both = ahead.unionByName(asked, allowMissingColumns=True)
+    carried = carry_last(both, ["_of"], "_back", "_order", F.col("_mark"), name, width)
+    return carried.where("_order = 1").withColumnRenamed("_of", "_key").select(*rows.columns, name)
 
 
 def kept_points(
-    events: DataFrame, keys: list[str], at: str, tie: str, hold_us: int,
-    resets: DataFrame | None = None, block_holds: int = 32, run_blocks: int = 256,
+    events: DataFrame, keys: list[str], at: str, tie: str, hold_us: int | Column,
+    resets: DataFrame | None = None, block_holds: int = 256, longest_us: int | None = None,
 ) -> DataFrame:
     """``keys, at, tie`` of the events kept by greedy thinning per key.
 
-    ``at`` is a microsecond BIGINT and ``tie`` orders events of the same time. An event exactly
-    ``hold_us`` after the last kept one is kept. ``resets`` has ``keys`` and ``at``. Only these
-    columns are shuffled; a task sees one key's times of one block, or the step functions of one run.
+    ``at`` is a microsecond BIGINT and ``tie`` orders events of the same time; without a time an event is not kept. An event
+    exactly ``hold_us`` after the last kept one is kept. ``hold_us`` may be a column, the hold of an event that is kept, none longer
+    than ``longest_us``; a hold of NULL or less than a microsecond is one. ``resets`` has ``keys`` and ``at``. Only these columns are
+    shuffled; a task holds the times of one key in one block of ``block_holds`` longest holds.
     """
-    width = hold_us * block_holds
+    longest = max(1, hold_us) if longest_us is None else max(1, longest_us)
+    width = longest * block_holds
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
-    block = F.expr(f"{at} div {width}")
-    run = F.expr(f"_block div {run_blocks}")
-    point = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"))
-    marks = events.select(key.alias("_key"), block.alias("_block"), point.alias("_point"))
-    if resets is None:
-        no_resets = F.array().cast("array<bigint>")
-    else:
-        ends = resets.select(key.alias("_key"), block.alias("_block"), F.col(at).alias("_reset"))
-        marks = marks.unionByName(ends, allowMissingColumns=True)
-        no_resets = F.sort_array(F.collect_set("_reset"))
-    # The joins below imply these filters. Stated here, every use of ``blocks`` has the same plan and
-    # Spark shuffles the events once. A row without a time has no place in the order.
-    marks = marks.filter(F.col("_block").isNotNull() & run.isNotNull())
-    blocks = marks.groupBy("_key", "_block").agg(
-        F.sort_array(F.collect_list("_point")).alias("_points"),
-        *([] if resets is None else [no_resets.alias("_resets")]),
-    )
-    if resets is None:
-        blocks = blocks.withColumn("_resets", no_resets)
-    block_steps = F.arrow_udf(_block_steps(hold_us), _STEPS)
-    functions = blocks.select(
-        "_key",
-        run.alias("_run"),
-        F.struct(
-            F.col("_block").alias("id"),
-            block_steps(F.col("_points.at"), F.col("_resets"), F.col("_block") * width).alias("steps"),
-        ).alias("part"),
-    )
-    runs = functions.groupBy("_key", "_run").agg(F.collect_list("part").alias("parts"))
-    compose = F.arrow_udf(_compose(hold_us, width * run_blocks), _STEPS)
-    whole = runs.select(
-        "_key", F.struct(F.col("_run").alias("id"), compose(F.col("parts"), F.col("_run")).alias("steps")).alias("part")
-    ).groupBy("_key").agg(F.collect_list("part").alias("parts"))
-    hand_down = F.arrow_udf(_hand_down, _ENTRIES)
-    run_entries = whole.select(
-        "_key", F.inline(hand_down(F.col("parts"), F.lit(_LONG_AGO).cast("bigint"))).alias("_run", "_entry")
-    )
-    block_entries = runs.join(run_entries, ["_key", "_run"]).select(
-        "_key", F.inline(hand_down(F.col("parts"), F.col("_entry"))).alias("_block", "_entry")
-    )
-    positions = F.arrow_udf(_kept_positions(hold_us), "array<int>")
-    chosen = blocks.join(block_entries, ["_key", "_block"]).select(
-        "_key", "_points", positions(F.col("_points.at"), F.col("_resets"), F.col("_entry")).alias("_kept")
-    )
-    kept = chosen.select("_key", F.explode(F.transform("_kept", lambda i: F.get("_points", i))).alias("_point"))
-    return kept.select(
-        *[F.col(f"_key.{k}").alias(k) for k in keys], F.col("_point.at").alias(at), F.col("_point.tie").alias(tie)
-    )
-
-
-def thin(events: DataFrame, keys: list[str], at: str, tie: str, hold_us: int, **options) -> DataFrame:
+    hold = F.greatest(F.lit(1), F.lit(hold_us) if isinstance(hold_us, int) else F.least(F.coalesce(hold_us, F.lit(1)), F.lit(longest))).cast("bigint")
+    points = events.where(F.col(at).isNotNull()).select(key.alias("_key"), F.col(at).alias("_at"), F.col(tie).alias("_tie"), hold.alias("_hold"))
+    if resets is not None:
+        ends = resets.where(F.col(at).isNotNull()).select(key.alias("_key"), F.col(at).alias("_at"))
+        points = _next_at_or_after(points, ends, "_at", "_reset", width)
+    until = F.col("_at") + F.col("_hold")
+    points = points.withColumn("_free", until if resets is None else F.least(until, F.col("_reset") + 1))
+    block = F.expr(f"(_at - pmod(_at, {width}L)) div {width}L")
+    points = points.select("_key", block.alias("_block"), F.lit(POINT).alias("_kind"), "_at", "_tie", "_free")
+    in_block = Window.partitionBy("_key", "_block").orderBy("_kind", "_at", "_tie")
+    folder = run_dir(events.sparkSession, "thin")
+    kinds = points.schema
+    more = [T.StructField("_out", T.LongType()), T.StructField("_last", T.LongType()), T.StructField("_opens", T.BooleanType())]
+    left = points.withColumn("_pos", F.row_number().over(in_block)).mapInArrow(_leaving(width, longest), T.StructType([kinds["_key"], kinds["_at"], *more]))
+    left = written(left, f"{folder}/ways")
+    # A block that begins a hold or more after the last point before it is entered at its first point, whatever was kept.
+    lasts = left.select(F.col("_key").alias("_of"), "_at", "_last", "_opens")
+    opened = carry_last(lasts, ["_of"], "_at", "_last", F.col("_last"), "_before", width).where("_opens")
+    starts = opened.where(F.col("_before").isNull() | (F.col("_at") - F.col("_before") >= longest)).select(F.col("_of").alias("_key"), "_at")
+    starts = written(starts, f"{folder}/starts")
+    pointers = _next_at_or_after(left.select("_key", "_at", "_out"), left, "_out", "_to", width).select("_key", "_at", "_to")
+    pointers = pointers.where("_to IS NOT NULL").join(starts.withColumnRenamed("_at", "_to"), ["_key", "_to"], "left_anti")
+    reached = _reached(starts, written(pointers, f"{folder}/pointers"), folder)
+    entries = reached.select("_key", block.alias("_block"), F.lit(ENTRY).alias("_kind"), "_at")
+    both = points.unionByName(entries, allowMissingColumns=True).withColumn("_pos", F.row_number().over(in_block))
+    kept = both.mapInArrow(_walked(width), T.StructType([kinds["_key"], kinds["_at"], kinds["_tie"]]))
+    return kept.select(*[F.col(f"_key.{k}").alias(k) for k in keys], F.col("_at").alias(at), F.col("_tie").alias(tie))
+
+
+def thin(events: DataFrame, keys: list[str], at: str, tie: str, hold_us: int | Column, **options) -> DataFrame:
     """Rows of ``events`` kept by greedy thinning per key (see ``kept_points``).
 
     Wide rows are not moved through the thinning; they are picked by a semi join, which the

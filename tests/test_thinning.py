@@ -35,13 +35,13 @@ def timelines():
     return rows, resets
 
 
-@pytest.mark.parametrize("hold, block_holds, run_blocks", [(10, 2, 2), (10, 32, 256), (60, 1, 3)])
+@pytest.mark.parametrize("hold, block_holds", [(10, 2), (10, 64), (60, 1)])
 @pytest.mark.parametrize("with_resets", [False, True])
-def test_thin_equals_walk(spark, timelines, hold, block_holds, run_blocks, with_resets):
+def test_thin_equals_walk(spark, timelines, hold, block_holds, with_resets):
     rows, resets = timelines
     events = spark.createDataFrame(rows, "key int, id bigint, at bigint")
     ends = spark.createDataFrame(resets, "key int, at bigint") if with_resets else None
-    got = thin(events, ["key"], "at", "id", hold, resets=ends, block_holds=block_holds, run_blocks=run_blocks)
+    got = thin(events, ["key"], "at", "id", hold, resets=ends, block_holds=block_holds)
     want = [
         i for key in {k for k, _, _ in rows}
         for i in walked([(i, t) for k, i, t in rows if k == key], hold, [r for k, r in resets if with_resets and k == key])
@@ -49,6 +49,29 @@ def test_thin_equals_walk(spark, timelines, hold, block_holds, run_blocks, with_
     assert sorted(r.id for r in got.collect()) == sorted(want)
 
 
+def test_holds_of_their_own(spark, timelines):
+    """Each event that is kept holds as long as it says."""
+    rows = [(k, i, t - 500, [5, 40, 0, None, 90][i % 5]) for k, i, t in timelines[0]]
+    events = spark.createDataFrame(rows, "key int, id bigint, at bigint, hold bigint")
+    got = thin(events, ["key"], "at", "id", F.col("hold"), longest_us=90, block_holds=2)
+    want, free = [], {}
+    for k, i, t, hold in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        if t >= free.get(k, -(10**9)):
+            want.append(i)
+            free[k] = t + max(1, hold or 1)
+    assert sorted(r.id for r in got.collect()) == sorted(want)
+
+
+def test_one_key_with_many_dense_points(spark):
+    """Ten million points of one key, a thousand in a hold, over many tasks."""
+    n, hold = 10_000_000, 1000
+    events = spark.range(n, numPartitions=8).select(F.lit("k").alias("key"), F.col("id").alias("at"), F.col("id"))
+    kept = thin(events, ["key"], "at", "id", hold)
+    tasks = kept.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum(F.col("at") % hold).alias("off")).collect()
+    assert sum(r.n for r in tasks) == n // hold and sum(r.off for r in tasks) == 0
+    assert len(tasks) >= 6
+
+
 def test_thin_boundaries_and_payload(spark):
     times = [(1, "a", 0), (2, "a", 59), (3, "a", 60), (4, "a", 61), (5, "a", 119), (6, "a", 120), (7, "b", 59)]
     events = spark.createDataFrame(times, "id bigint, key string, at bigint").withColumn("note", F.lit("x"))
