@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions.text import SECOND
 from emberwatch.operators.carry import carry_last
-from emberwatch.operators.thinning import thin
+from emberwatch.operators.thinning import kept_points, thin
 
 # Fixed value: how long before expiry a credential is renewed.
 REFRESH_SKEW_SECONDS = 300
@@ -85,15 +85,46 @@ def credential_state(now: Column, expires_at: Column, skew_us: int = REFRESH_SKE
 
 
 def refresh_points(
-    requests: DataFrame, invalidations: DataFrame | None, keys: list[str], ttl_us: int,
-    at: str = "at_us", tie: str = "request_id", skew_us: int = REFRESH_SKEW_SECONDS * SECOND,
+    requests: DataFrame, invalidations: DataFrame | None, keys: list[str], ttl_us: int | Column,
+    at: str = "at_us", tie: str = "request_id", skew_us: int = REFRESH_SKEW_SECONDS * SECOND, longest_us: int | None = None,
 ) -> DataFrame:
     """Requests that renew the credential; the others reuse it.
 
     A request renews if it comes ``ttl - skew`` or more after the last renewal, or after an
-    invalidation (E12 events) that followed it.
+    invalidation (E12 events) that followed it. ``ttl_us`` may be a column, the lifetime of what the request is given if it
+    renews, none longer than ``longest_us``.
+    """
+    longest = None if longest_us is None else longest_us - skew_us
+    return thin(requests, keys, at, tie, ttl_us - skew_us, resets=invalidations, longest_us=longest)
+
+
+def renewals(
+    requests: DataFrame, invalidations: DataFrame | None, keys: list[str], lifetime_us: Column, longest_us: int, succeeds: Column,
+    at: str = "at_us", tie: str = "request_id", skew_us: int = REFRESH_SKEW_SECONDS * SECOND,
+) -> DataFrame:
+    """``requests`` with the ``outcome`` of each: ``cached`` if the credential in hand is not due, else ``refreshed``, or, if
+    renewing fails, ``stale-ok`` while it is valid and ``error`` after that.
+
+    ``succeeds`` tells of each request whether it would be given a credential if it asked for one, ``lifetime_us`` for how long, longer
+    than the skew and no longer than ``longest_us``. A failed attempt changes nothing, so the renewals are the requests kept by thinning
+    among those that would succeed. An invalidation leaves no credential from the next microsecond on. Requests are ordered by ``at`` and
+    ``tie``, which tell one from the other; without a time they are left out.
     """
-    return thin(requests, keys, at, tie, ttl_us - skew_us, resets=invalidations)
+    asked = requests.where(F.col(at).isNotNull()).withColumns({"_life": lifetime_us.cast("bigint"), "_good": F.coalesce(succeeds, F.lit(False))})
+    given = kept_points(asked.where("_good"), keys, at, tie, F.col("_life") - skew_us, invalidations, longest_us=longest_us - skew_us)
+    same = [asked[c].eqNullSafe(given[c]) for c in (*keys, at, tie)]
+    marked = asked.join(given.withColumn("_renews", F.lit(True)), same, "left").select(*[asked[c] for c in asked.columns], "_renews")
+    marked = marked.withColumns({"_order": F.struct(F.lit(0).alias("reset"), F.col(tie).alias("tie")), "_expires": F.when(F.col("_renews"), F.col(at) + F.col("_life"))})
+    if invalidations is not None:
+        nobody = F.lit(None).cast(requests.schema[tie].dataType)
+        ends = invalidations.where(F.col(at).isNotNull()).select(
+            *keys, at, F.struct(F.lit(1).alias("reset"), nobody.alias("tie")).alias("_order"), F.lit(0).cast("bigint").alias("_expires")
+        )
+        marked = marked.unionByName(ends, allowMissingColumns=True)
+    held = carry_last(marked, keys, at, "_order", F.col("_expires"), "_held", longest_us)
+    until = F.coalesce("_held", F.lit(0))
+    outcome = F.when(F.col("_renews"), "refreshed").when(F.col(at) < until - skew_us, "cached").when(F.col(at) < until, "stale-ok").otherwise("error")
+    return held.where("_order.reset = 0").withColumn("outcome", outcome).select(*requests.columns, "outcome")
 
 
 def refresh_outcome(succeeded: Column, now: Column, expires_at: Column) -> Column:

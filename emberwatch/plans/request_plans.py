@@ -10,7 +10,7 @@ from emberwatch.operators.commands import (
 )
 from emberwatch.operators.requests import (
     correct_endpoints, credential_state, credentials_in_force, in_family, inject_headers, issued_headers,
-    refresh_outcome, refresh_points, resolve_aliases,
+    refresh_points, renewals, resolve_aliases,
 )
 from emberwatch.sources.readers import aliases as read_aliases
 from emberwatch.sources.readers import catalog as read_catalog
@@ -180,13 +180,32 @@ SELECT request_id, provider, at_us FROM walk WHERE renews"""
     return query, sql
 
 
+# A credential lives for half an hour to five hours, and every third attempt to renew one fails.
+_LIFE = "(user_id % 10 + 1) * 1800000000"
+_SUCCEEDS = "event_id % 3 > 0"
+
+
 def r9(spark, sf):
-    outcome = refresh_outcome(F.col("request_id") % 3 == 0, F.col("at_us"), F.col("credential.expires_at"))
-    return _in_force(spark, sf).select("request_id", outcome.alias("outcome"))
+    events = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type").filter("event_type <> 'error'")
+    requests = events.select(
+        F.col("event_id").alias("request_id"), F.expr(_PROVIDER).alias("provider"), micros("ts").alias("at_us"), F.expr(_LIFE).alias("life"),
+        F.expr(_SUCCEEDS).alias("good"),
+    )
+    judged = renewals(requests, _auth_failures(spark, sf), ["provider"], F.col("life"), 5 * 3600 * SECOND, F.col("good"))
+    return judged.select("request_id", "outcome")
 
 
-R9_SQL = f"""WITH {_IN_FORCE} SELECT request_id, CASE WHEN request_id % 3 = 0 THEN 'refreshed' WHEN at_us < expires_at THEN 'stale-ok'
-ELSE 'error' END AS outcome FROM forced"""
+# Walks requests and invalidations in order with the expiry of the credential in hand.
+R9_SQL = f"""WITH RECURSIVE marks AS (SELECT event_id, {_PROVIDER} AS provider, epoch_us(ts) AS at_us, event_type = 'error' AS is_reset,
+  {_LIFE} AS life, {_SUCCEEDS} AS good FROM events WHERE event_type <> 'error' OR value > 60),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY at_us, is_reset, event_id) AS n FROM marks),
+walk(provider, n, request_id, outcome, expires) AS (
+ SELECT DISTINCT provider, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) FROM ordered
+ UNION ALL SELECT o.provider, o.n, o.event_id, CASE WHEN o.is_reset THEN NULL WHEN o.at_us < w.expires - 300000000 THEN 'cached' WHEN o.good THEN 'refreshed'
+   WHEN o.at_us < w.expires THEN 'stale-ok' ELSE 'error' END,
+  CASE WHEN o.is_reset THEN 0 WHEN o.at_us < w.expires - 300000000 OR NOT o.good THEN w.expires ELSE o.at_us + o.life END
+ FROM walk w JOIN ordered o ON o.provider = w.provider AND o.n = w.n + 1)
+SELECT request_id, outcome FROM walk WHERE outcome IS NOT NULL"""
 
 # Chat updates: buttons, messages, edited messages and others, as JSON.
 _UPDATE = """CASE CAST(event_id % 7 AS INT)
