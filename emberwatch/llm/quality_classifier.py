@@ -181,18 +181,20 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", passage_words: i
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last = batch.num_columns - 1
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                row, x = passages(part.column(last), passage_words)
+                row, x = passages(part.column(text_at), passage_words)
                 heads, bag = _bags(row)
                 s = np.round(_forward(model, x.astype(np.float64), heads, bag)["s"], 9)
-                columns = [part.column(k) for k in range(last)] + [pa.array(s), pa.array((s >= good_from).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, [f.name for f in batch.schema][:-1] + ["score", "predicted"])
-
-    rest = docs.drop("score", "predicted")
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest.schema)
-    return rest.withColumn("_scored_text", F.col(text_col)).mapInArrow(scored, f"{fields}score double, predicted int")
+                columns = [part.column(k) for k in kept_at] + [pa.array(s), pa.array((s >= good_from).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, [*rest, "score", "predicted"])
+
+    # Each text goes to Python once, and comes back once.
+    text_at = docs.columns.index(text_col)
+    rest = [c for c in docs.columns if c not in ("score", "predicted")]
+    kept_at = [docs.columns.index(c) for c in rest]
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in rest)
+    return docs.mapInArrow(scored, f"{fields}score double, predicted int")
 
 
 def query(spark, folder: str) -> DataFrame:

@@ -51,3 +51,32 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     want = [(k, n, m, hashlib.sha256(t.encode()).hexdigest()) for k, n, m, t in brute(rows, 13)]
     assert sorted((tuple(r) for r in substrings.query(spark, folder).collect()), key=repr) == sorted(want, key=repr)
+
+
+def thue_morse(n):
+    """Words that polynomial hashes modulo a power of two take for equal, whatever their base."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    t, u = thue_morse(2048)
+    head = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{head} {t}"), (2, f"{head} {u}"), (3, f"{head} {t}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(df).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_span_hashes_against_slices():
+    """Equal exactly where the bytes are, wherever they stand."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    starts = rng.integers(0, 3900, 3000)
+    ends = starts + rng.integers(0, 12, 3000)
+    hashes = shared.span_hashes(shared.prefix_hashes(data), starts, ends)
+    pieces = [bytes(data[a:b]) for a, b in zip(starts, ends, strict=True)]
+    assert len(set(hashes.tolist())) == len(set(pieces)) == len(set(zip(pieces, hashes.tolist(), strict=True)))
+    assert (shared.span_hashes(shared.prefix_hashes(data[100:]), starts[starts >= 100] - 100, ends[starts >= 100] - 100) == hashes[starts >= 100]).all()
