@@ -14,11 +14,17 @@ REFRESH_SKEW_SECONDS = 300
 _HOUR = 3600 * SECOND
 
 
-def resolve_aliases(requests: DataFrame, aliases: DataFrame, order: str = "target") -> DataFrame:
+def _listed(rows: DataFrame, order: str | None, value: str) -> str:
+    """The column that tells which row is listed last: ``order``, else ``pos`` if there is one, else the value itself."""
+    return order or ("pos" if "pos" in rows.columns else value)
+
+
+def resolve_aliases(requests: DataFrame, aliases: DataFrame, order: str | None = None) -> DataFrame:
     """Add ``resolved_model``. The join side is the optimiser's choice by size, here and below.
 
-    An alias that is listed again counts by its row of the greatest ``order``, so requests are never multiplied.
+    An alias that is listed again counts by its last row, by ``order`` or the place ``pos``, so requests are never multiplied.
     """
+    order = _listed(aliases, order, "target")
     targets = aliases.groupBy(F.col("alias").alias("model")).agg(F.max_by("target", order).alias("target"))
     return requests.join(targets, "model", "left").withColumn("resolved_model", F.coalesce("target", "model")).drop("target")
 
@@ -28,11 +34,12 @@ def in_family(model: Column, resolved_model: Column, prefix: str) -> Column:
     return F.startswith(model, F.lit(prefix)) | F.startswith(resolved_model, F.lit(prefix))
 
 
-def correct_endpoints(requests: DataFrame, catalog: DataFrame, order: str = "api_base") -> DataFrame:
+def correct_endpoints(requests: DataFrame, catalog: DataFrame, order: str | None = None) -> DataFrame:
     """Replace a base that is set but differs from the catalog's; add ``corrected``.
 
-    A model that is listed again counts by its row of the greatest ``order``.
+    A model that is listed again counts by its last row with a name and a base, by ``order`` or the place ``pos``.
     """
+    order = _listed(catalog, order, "api_base")
     right = catalog.filter(F.col("model_name").isNotNull() & F.col("api_base").isNotNull()).groupBy(
         F.col("model_name").alias("model")
     ).agg(F.max_by("api_base", order).alias("_base"))

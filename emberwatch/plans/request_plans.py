@@ -93,6 +93,38 @@ SELECT request_id, CASE WHEN api_base <> '' AND api_base <> base THEN base ELSE
 coalesce(api_base <> '' AND api_base <> base, FALSE) AS corrected FROM requests LEFT JOIN catalog ON model_name = model"""
 
 
+# Lists that name a model or an alias again and again, some without a base; the last entry counts.
+_REPEATED = [
+    "concat('house/m', CAST(s_nationkey AS VARCHAR(20))) AS model_name",
+    "CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE concat('https://s', CAST((s_suppkey * 7) % 10 AS VARCHAR(20)), '.example/v1') END AS api_base",
+]
+_REPEATED_ALIAS = [
+    "concat('alias-', CAST(s_suppkey % 40 AS VARCHAR(20))) AS alias", "concat('house/m', CAST((s_suppkey * 13) % 25 AS VARCHAR(20))) AS target",
+]
+
+
+def r3_repeated(spark, sf):
+    listed = table(spark, sf, "supplier", "s_suppkey", "s_nationkey")
+    models = read_catalog(listed.selectExpr(*_REPEATED, "s_suppkey AS pos"))
+    return correct_endpoints(_requests(spark, sf), models).select("request_id", "api_base", "corrected")
+
+
+R3_REPEATED_SQL = f"""WITH {_REQUESTS}, listed AS (SELECT {', '.join(_REPEATED)}, s_suppkey FROM supplier),
+catalog AS (SELECT model_name, arg_max(api_base, s_suppkey) AS base FROM listed WHERE api_base IS NOT NULL GROUP BY model_name)
+SELECT request_id, CASE WHEN api_base <> '' AND api_base <> base THEN base ELSE api_base END AS api_base,
+coalesce(api_base <> '' AND api_base <> base, FALSE) AS corrected FROM requests LEFT JOIN catalog ON model_name = model"""
+
+
+def r1_repeated(spark, sf):
+    listed = table(spark, sf, "supplier", "s_suppkey")
+    names = read_aliases(listed.selectExpr(*_REPEATED_ALIAS, "s_suppkey AS pos"))
+    return resolve_aliases(_requests(spark, sf), names).select("request_id", "resolved_model")
+
+
+R1_REPEATED_SQL = f"""WITH {_REQUESTS}, aliases AS (SELECT alias, arg_max(target, s_suppkey) AS target FROM (SELECT {', '.join(_REPEATED_ALIAS)}, s_suppkey FROM supplier) GROUP BY alias)
+SELECT request_id, coalesce(target, model) AS resolved_model FROM requests LEFT JOIN aliases ON alias = model"""
+
+
 def r4(spark, sf):
     events = table(spark, sf, "events", "event_id", "user_id", "event_type")
     issued = F.create_map(
@@ -275,6 +307,8 @@ def r14(spark, sf):
 QUERIES = {
     "S6_catalog_and_aliases": (s6, S6_SQL),
     "R1_aliases": (r1, f"WITH {_RESOLVED} SELECT request_id, resolved_model FROM resolved"),
+    "R1_repeated_aliases": (r1_repeated, R1_REPEATED_SQL),
+    "R3_repeated_models": (r3_repeated, R3_REPEATED_SQL),
     "R2_provider_family": (r2, f"WITH {_RESOLVED} SELECT request_id, starts_with(model, '{FAMILY}') OR starts_with(resolved_model, '{FAMILY}') AS in_family FROM resolved"),
     "R3_endpoints": (r3, R3_SQL),
     "R4_headers": (r4, R4_SQL),
