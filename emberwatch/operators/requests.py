@@ -66,22 +66,25 @@ def inject_headers(request_headers: Column, injected: Column) -> Column:
 
 
 def credentials_in_force(
-    requests: DataFrame, credentials: DataFrame, keys: list[str], at: str = "at_us", block_us: int = _HOUR
+    requests: DataFrame, credentials: DataFrame, keys: list[str], at: str = "at_us", block_us: int = _HOUR,
+    tie: str = "request_id", order: str | None = None,
 ) -> DataFrame:
-    """As-of join, the last credential of the provider issued at or before each request.
+    """As-of join, the last credential of the provider issued at or before each request, as the struct ``credential``.
 
     Both logs are put on one time line and the credential is carried forward in time blocks, so a
-    provider with most of the traffic is spread over many tasks. ``credentials`` has ``keys``,
-    ``issued_at`` and any further columns, which end up in the struct ``credential``.
+    provider with most of the traffic is spread over many tasks. Of a request only ``keys``, ``at`` and ``tie`` are put there; the
+    rest of its row is joined last. ``credentials`` has ``keys``, ``issued_at`` and any further columns; of those issued in one
+    microsecond the one of the greatest ``order`` counts, or, without it, of the greatest row as JSON. Requests without a time have none.
     """
-    issued = credentials.select(*keys, F.col("issued_at").alias(at), F.struct(
-        *[c for c in credentials.columns if c not in keys]
-    ).alias("_issued"))
-    timeline = requests.withColumn("_is_request", F.lit(True)).unionByName(issued, allowMissingColumns=True)
+    rest = F.struct(*[c for c in credentials.columns if c not in keys])
+    issued = credentials.groupBy(*keys, F.col("issued_at").alias(at)).agg(F.max_by(rest, F.col(order) if order else F.to_json(rest)).alias("_issued"))
     # A credential issued at the very time of a request is in force for it.
-    ordered = timeline.withColumn("_turn", F.when(F.col("_is_request"), F.lit(1)).otherwise(0))
-    carried = carry_last(ordered, keys, at, "_turn", F.col("_issued"), "credential", block_us, include_current=True)
-    return carried.filter("_is_request").drop("_is_request", "_turn", "_issued")
+    asked = requests.select(*keys, at, tie).distinct()
+    timeline = asked.withColumn("_turn", F.lit(1)).unionByName(issued.withColumn("_turn", F.lit(0)), allowMissingColumns=True)
+    carried = carry_last(timeline, keys, at, "_turn", F.col("_issued"), "credential", block_us, include_current=True)
+    found = carried.filter("_turn = 1").select(*[F.col(c).alias(f"_{c}") for c in (*keys, at, tie)], "credential")
+    same = [requests[c].eqNullSafe(found[f"_{c}"]) for c in (*keys, at, tie)]
+    return requests.join(found, same, "left").select(*requests.columns, "credential")
 
 
 def credential_state(now: Column, expires_at: Column, skew_us: int = REFRESH_SKEW_SECONDS * SECOND) -> Column:

@@ -158,7 +158,7 @@ def _credentials(spark, sf):
 
 
 def _in_force(spark, sf):
-    return credentials_in_force(_provider_requests(spark, sf), _credentials(spark, sf), ["provider"], block_us=86400 * SECOND)
+    return credentials_in_force(_provider_requests(spark, sf), _credentials(spark, sf), ["provider"], block_us=86400 * SECOND, order="credential_id")
 
 
 def r5(spark, sf):

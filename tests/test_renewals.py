@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from emberwatch.operators.requests import renewals
+from emberwatch.operators.requests import credentials_in_force, renewals
 
 SKEW = 300
 
@@ -43,3 +43,34 @@ def test_outcomes_equal_a_walk(spark):
         assert {r.request_id: r.outcome for r in got.collect()} == want
         assert len(set(want.values())) == 4
     assert got.columns == [*df.columns, "outcome"]
+
+
+def test_credentials_of_one_microsecond(spark):
+    """The greatest order counts; requests keep their rows, repeated ones included."""
+    requests = [(1, "p", 10, "wide"), (1, "p", 10, "wide"), (2, "p", 9, "w"), (3, "q", 50, "w"), (4, None, 7, "w"), (5, "p", 30, "w"), (6, "p", None, "w")]
+    issued = [("p", 10, 1, "a"), ("p", 10, 3, "c"), ("p", 10, 2, "z"), ("p", 20, 9, "d"), (None, 7, 4, "n")]
+    df = spark.createDataFrame(requests, "request_id long, p string, at_us long, body string")
+    creds = spark.createDataFrame(issued, "p string, issued_at long, credential_id long, token string")
+    got = credentials_in_force(df, creds, ["p"], order="credential_id", block_us=8)
+    assert sorted((r.request_id, r.credential.token if r.credential else None) for r in got.collect()) == [
+        (1, "c"), (1, "c"), (2, None), (3, None), (4, "n"), (5, "d"), (6, None),
+    ]
+    plain = {r.request_id: r.credential.token for r in credentials_in_force(df, creds, ["p"]).where("credential is not null").collect()}
+    assert plain[1] == "c" and got.columns == [*df.columns, "credential"]
+
+
+def test_windows_do_not_hold_whole_requests(spark):
+    df = spark.createDataFrame([(1, "p", 10, "wide")], "request_id long, p string, at_us long, body string")
+    creds = spark.createDataFrame([("p", 10, "t")], "p string, issued_at long, token string")
+    plan = credentials_in_force(df, creds, ["p"])._jdf.queryExecution().optimizedPlan()
+    for node in plan.toString().split("\n"):
+        assert "Window" not in node or "body" not in node
+    stack, windows = [plan], 0
+    while stack:
+        node = stack.pop()
+        if node.nodeName() == "Window":
+            windows += 1
+            names = [node.output().apply(k).name() for k in range(node.output().size())]
+            assert "body" not in names
+        stack += [node.children().apply(k) for k in range(node.children().size())]
+    assert windows
