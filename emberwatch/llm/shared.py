@@ -118,9 +118,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-#: Primes of the two lanes of byte hashes. A field has no long words that are equal whatever the base, as the ring of 64-bit numbers has.
-_LANES = (2147483647, 2147483629)
-_LOW = np.uint64((1 << 32) - 1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, and a fixed 64-bit value for each byte."""
+    cache = process_cache()
+    have = cache.get("powers")
+    if have is None or len(have[0]) <= n:
+        base, size = 0x9E3779B97F4A7C15, max(n + 1, BLOCK_BYTES + 4096)
+        inverse = pow(base, -1, 1 << 64)
+        tables = []
+        for b in (base, inverse):
+            table = np.full(size, b, np.uint64)
+            table[0] = 1
+            tables.append(np.multiply.accumulate(table))
+        have = cache["powers"] = (*tables, mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    return have
+
+
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """H[i] = sum of value(byte j) * base**j for j < i, modulo 2**64. For spans below some 1,000 bytes, or where equal hashes do no harm:
+    modulo a power of two some longer ones are equal whatever the base. Words, which may be of any length, are hashed in fields."""
+    powers, _, values = _powers(len(data))
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(values[data] * powers[: len(data)], out=out[1:])
+    return out
+
+
+def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of data[start:end], the same wherever the bytes stand."""
+    _, inverse, _ = _powers(len(prefix))
+    return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+#: Primes of the two fields in which words are hashed.
+_PRIMES = (2147483647, 2147483629)
 
 
 def _power_table(base: int, prime: int, n: int) -> np.ndarray:
@@ -130,36 +160,27 @@ def _power_table(base: int, prime: int, n: int) -> np.ndarray:
     return table[:n]
 
 
-def _powers(n: int) -> list[tuple]:
-    """For each lane: its prime, powers of a base and of its inverse, and a fixed value for each byte."""
+def _field_powers(n: int) -> list[tuple]:
+    """For each field: its prime, powers of a base and of its inverse, and a fixed value for each byte."""
     cache = process_cache()
-    have = cache.get("powers")
+    have = cache.get("field powers")
     if have is None or len(have[0][1]) <= n:
         size, have = max(n + 1, BLOCK_BYTES + 4096), []
-        for lane, prime in enumerate(_LANES):
+        for lane, prime in enumerate(_PRIMES):
             drawn = mix(np.arange(1, 258, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(lane)) % np.uint64(prime - 2) + np.uint64(1)
             base = int(drawn[256]) + 1
             have.append((np.uint64(prime), _power_table(base, prime, size), _power_table(pow(base, -1, prime), prime, size), drawn[:256]))
-        cache["powers"] = have
+        cache["field powers"] = have
     return have
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """In each half of H[i] the sum of value(byte j) * base**j for j < i, modulo the lane's prime."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    for shift, (prime, powers, _, values) in zip((32, 0), _powers(len(data)), strict=True):
-        sums = np.cumsum(values[data] * powers[: len(data)] % prime)
-        out[1:] |= (sums % prime) << np.uint64(shift)
-    return out
-
-
-def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start:end], the same wherever the bytes stand."""
-    first, last = prefix[starts], prefix[ends]
+def field_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of data[start:end], the same wherever the bytes stand; unequal spans of any length are unequal but by chance."""
     out = np.zeros(len(starts), np.uint64)
-    for shift, (prime, _, inverse, _) in zip((32, 0), _powers(len(prefix)), strict=True):
-        of = lambda x: (x >> np.uint64(shift)) & _LOW  # noqa: B023, E731
-        out |= (of(last) + prime - of(first)) % prime * inverse[starts] % prime << np.uint64(shift)
+    for shift, (prime, powers, inverse, values) in zip((32, 0), _field_powers(len(data)), strict=True):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(values[data] * powers[: len(data)] % prime, out=sums[1:])
+        out |= (sums[ends] - sums[starts]) % prime * inverse[starts] % prime << np.uint64(shift)
     return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -218,7 +239,7 @@ def word_blocks(column: pa.Array, lower: bool = False):
     for data, rows, _, bounds in text_blocks(column, 0, at_space=True):
         data = _TO_LOWER[data] if lower else data
         starts, ends = word_spans(data)
-        hashes = span_hashes(prefix_hashes(data), starts, ends)
+        hashes = field_hashes(data, starts, ends)
         rows_kept.append(rows[np.searchsorted(bounds[:, 1], starts, side="right")])
         hashes_kept.append(hashes)
         size += len(hashes)

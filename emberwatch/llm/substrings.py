@@ -166,4 +166,14 @@ def query(spark, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op8_substring_dedup": (query, None)}
+# The contract over all windows and pairs, for small tables.
+SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS said FROM (SELECT *, unnest(range(1, len(words) - 11)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY said) AS first FROM windows) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place FROM again),
+each AS (SELECT doc_id, words[place] AS word, place FROM (SELECT *, unnest(range(1, len(words) + 1)) AS place FROM d)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS said, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+QUERIES = {"op8_substring_dedup": (query, SQL)}

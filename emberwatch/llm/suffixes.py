@@ -238,4 +238,18 @@ def query(spark, folder: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op10_suffix_array_dedup": (query, None)}
+# The contract over all windows and pairs, for small tables.
+SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS code FROM documents),
+strings AS (SELECT doc_id, i, md5(code[2 * i + 1:2 * i + 200]) AS said FROM (SELECT *, unnest(range(0, length(code) // 2 - 99)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY said ORDER BY doc_id, i) AS turn FROM strings) WHERE turn > 1),
+edges AS (SELECT doc_id, i, i - lag(i) OVER w AS gap FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT doc_id, min(i) AS first, max(i) + 100 AS past FROM (SELECT *, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edges)
+ GROUP BY doc_id, run),
+between AS (SELECT doc_id, coalesce(lag(past) OVER w, 0) AS first, first AS past FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY first)
+ UNION ALL SELECT doc_id, max(past), NULL FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(code[2 * first + 1:2 * coalesce(past, length(code) // 2)], '' ORDER BY first) AS code FROM between JOIN d USING (doc_id) GROUP BY doc_id),
+counts AS (SELECT doc_id, sum(past - first) AS n, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(d.code) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+sha256(unhex(coalesce(k.code, d.code))) AS kept_sha256 FROM d LEFT JOIN kept k USING (doc_id) LEFT JOIN counts USING (doc_id)"""
+
+QUERIES = {"op10_suffix_array_dedup": (query, SQL)}

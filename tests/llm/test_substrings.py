@@ -76,7 +76,9 @@ def test_span_hashes_against_slices():
     data = rng.integers(97, 99, 4000).astype(np.uint8)
     starts = rng.integers(0, 3900, 3000)
     ends = starts + rng.integers(0, 12, 3000)
-    hashes = shared.span_hashes(shared.prefix_hashes(data), starts, ends)
     pieces = [bytes(data[a:b]) for a, b in zip(starts, ends, strict=True)]
-    assert len(set(hashes.tolist())) == len(set(pieces)) == len(set(zip(pieces, hashes.tolist(), strict=True)))
-    assert (shared.span_hashes(shared.prefix_hashes(data[100:]), starts[starts >= 100] - 100, ends[starts >= 100] - 100) == hashes[starts >= 100]).all()
+    late = starts >= 100
+    for of in (shared.field_hashes, lambda d, s, e: shared.span_hashes(shared.prefix_hashes(d), s, e)):
+        hashes = of(data, starts, ends)
+        assert len(set(hashes.tolist())) == len(set(pieces)) == len(set(zip(pieces, hashes.tolist(), strict=True)))
+        assert (of(data[100:], starts[late] - 100, ends[late] - 100) == hashes[late]).all()
