@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.sources.tables import spread, table
+from emberwatch.sources.tables import dealt, table
 
 TEMPLATES = [
     'import os\nsecret = os.environ["K{id}"]\nprint(secret)',
@@ -189,7 +189,7 @@ def _filled(template: str) -> Column:
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``snippet_id, slot, code, language``: one snippet per event."""
-    return fill(spread(table(spark, sf_dir, "events", "event_id", "user_id"), "event_id"))
+    return fill(dealt(table(spark, sf_dir, "events", "event_id", "user_id")))
 
 
 def fill(events: DataFrame) -> DataFrame:
