@@ -90,6 +90,11 @@ def _visit_rows(extracted: DataFrame, key: str) -> DataFrame:
     return fact.select(key, F.col("fact.names").alias("names"), F.inline("fact.visits"))
 
 
+def mentions_any(facts: Column, names: Column) -> Column:
+    """Whether some text of ``facts`` mentions one of ``names``."""
+    return F.exists(facts, lambda fact: F.coalesce(F.arrays_overlap(fact["names"], names), F.lit(False)))
+
+
 def traceable(facts: Column, extra_names: Column) -> Column:
     """What ``taint_fold.trace`` asks of each text of ``facts`` (T2-T7); ``extra_names`` holds a list of names per text that are
     tainted before all."""
@@ -111,7 +116,13 @@ def traceable(facts: Column, extra_names: Column) -> Column:
             F.transform(fact["visits"], followed).alias("visits"),
         )
 
-    return F.zip_with(facts, extra_names, text)
+    def worth(asked: Column) -> Column:
+        # Where nothing can start taint there is nothing to follow.
+        may = (F.size(asked["given"]) > 0) | F.exists(asked["secret"], lambda s: s) | F.exists(asked["visits"], lambda v: v["starts"])
+        visits = F.when(may, asked["visits"]).otherwise(F.slice(asked["visits"], 1, 0))
+        return F.struct(asked["given"].alias("given"), asked["secret"].alias("secret"), visits.alias("visits"))
+
+    return F.transform(F.zip_with(facts, extra_names, text), worth)
 
 
 class UseRule(NamedTuple):

@@ -206,7 +206,7 @@ def _per_slot(columns: str, rows, where: str = "TRUE") -> str:
 
 
 def _python(spark, sf):
-    return extract(snippets(spark, sf)).filter("language = 'python'")
+    return extract(snippets(spark, sf), follow=False).filter("language = 'python'")
 
 
 def t1(spark, sf):
