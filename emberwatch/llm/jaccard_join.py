@@ -7,6 +7,10 @@ cost candidates, a longer prefix costs rows. Candidates share as many prefix shi
 Components come in steps, so that a group of copies is not expanded into its pairs: in each turn a class is verified against a few classes of
 other components, as long as that finds links; then all pairs that share enough prefix shingles are verified if they are not
 in one component yet. No link is lost: a pair that links is verified, or its classes are in one component already.
+
+Members of a group that are not near enough never join, so the last step meets their pairs. It looks at the marks of both sets, one bit of
+parity per hash value, before it makes a row of a pair: sets whose marks differ in n bits differ in n shingles at least. Runs that have the
+same least class are worked on together, so that marks travel a few times per class, and a pair is looked at once for all these runs.
 """
 
 from __future__ import annotations
@@ -29,6 +33,10 @@ COUNT_SHINGLES, COUNT_FROM = 1 << 22, 3
 FREQUENCIES = 1 << 19
 #: Candidates expected per shingle that is not among the frequencies, and the most matches that are asked for.
 RARE_CANDIDATES, MOST_MATCHES = 0.2, 64
+#: Bits of a set's marks: a power of two, at least eight times its size, between these.
+LEAST_MARKS, MOST_MARKS = 256, 1 << 17
+#: Pairs of rows that the last step looks at together, and bytes of marks.
+PAIR_ROWS, MARK_BYTES = 1 << 19, 1 << 24
 #: Orders among equal lengths in one turn, and partners of a class that it verifies.
 ORDERS, PARTNERS = 5, 8
 #: Turns at most; what they leave is found by the last step.
@@ -48,6 +56,46 @@ def shingle_sets(column: pa.Array, words: int, lower: bool = True) -> Iterator[t
                 yield k, mix(window_hashes(hashes[a:b], b - a) + np.uint64(b - a))
 
 
+def marks_of(shingles: np.ndarray) -> bytes:
+    """A bit for each of some hash values, set if an odd number of shingles has it. Two sets differ in at least as many shingles as their
+    marks differ in bits. Marks of half as many bits are the exclusive or of the halves."""
+    size = min(max(LEAST_MARKS, 1 << (8 * len(shingles) - 1).bit_length()), MOST_MARKS)
+    return np.packbits((np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+class _Marks:
+    """Marks of many sets, compared by as many bits as both have."""
+
+    def __init__(self, marks: np.ndarray):
+        self.size = np.fromiter(map(len, marks), np.int64, len(marks)) * 8
+        self.place = np.zeros(len(marks), np.int64)
+        self.held: dict[tuple[int, int], np.ndarray] = {}
+        for size in np.unique(self.size).tolist():
+            rows = np.flatnonzero(self.size == size)
+            self.place[rows] = np.arange(len(rows))
+            self.held[size, size] = np.frombuffer(b"".join(marks[rows]), np.uint64).reshape(len(rows), size // 64)
+
+    def _of(self, size: int, least: int) -> np.ndarray:
+        if (size, least) not in self.held:
+            wide = self._of(size, 2 * least)
+            self.held[size, least] = wide[:, : least // 64] ^ wide[:, least // 64 :]
+        return self.held[size, least]
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits in which sets x[k] and y[k] differ."""
+        out = np.zeros(len(x), np.int64)
+        kinds = self.size[x] << 32 | self.size[y]
+        for kind in np.unique(kinds).tolist():
+            one, two = kind >> 32, kind & ((1 << 32) - 1)
+            least, among = min(one, two), np.flatnonzero(kinds == kind)
+            step = max(1, MARK_BYTES * 8 // least)
+            for at in range(0, len(among), step):
+                k = among[at : at + step]
+                apart = self._of(one, least)[self.place[x[k]]] ^ self._of(two, least)[self.place[y[k]]]
+                out[k] = np.bitwise_count(apart).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def set_key(shingles: np.ndarray) -> int:
     """64-bit hash of a set."""
     total = int(np.bitwise_xor.reduce(mix(shingles))) + int(mix(shingles.sum(keepdims=True) + np.uint64(len(shingles)))[0])
@@ -159,7 +207,7 @@ def _runs(table: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
 
 
 def _by_run(work, percent: int):
-    """work on whole runs of h, for mapInArrow over rows sorted by h."""
+    """work on whole runs of the first column, for mapInArrow over rows sorted by it."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -196,44 +244,54 @@ def _neighbours(table: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatc
 
 
 def _cross(table: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h, n: pairs of classes of different components that may link, with the matches they need."""
-    h, c, n, level, asked, root = table
-    left, right, size = [], [], 0
-    heads = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
-    parted = np.minimum.reduceat(root, heads) != np.maximum.reduceat(root, heads)
-    rows = np.flatnonzero(np.repeat(parted, np.diff(np.append(heads, len(h)))))
-    if not len(rows):
-        return
-    h, c, n, level, asked, root = (x[rows] for x in table)
-    ends = np.searchsorted(h, h, side="right")
-    # Longer partners of row i in its run: up to n[i] * 100 / percent.
-    run = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]).astype(np.int64)]))
-    stop = np.searchsorted((run << 32) | n, (run << 32) | (100 * n.astype(np.int64) // percent), side="right")
-    for i in range(len(h)):
-        if stop[i] > i + 1:
-            j = np.arange(i + 1, min(stop[i], ends[i]))
-            least = np.minimum(asked[i], asked[j])
-            j = j[(root[j] != root[i]) & (np.maximum(level[i], level[j]) <= least)]
-            left.append(np.full(len(j), i))
-            right.append(j)
-            size += len(j)
-        if size > 1 << 18:
-            yield _pairs(c, asked, np.concatenate(left), np.concatenate(right))
-            left, right, size = [], [], 0
-    if size:
-        yield _pairs(c, asked, np.concatenate(left), np.concatenate(right))
-
-
-def _pairs(c, asked, i, j):
-    least = np.minimum(asked[i], asked[j])
-    pair = np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])], 1)
-    _, first, count = np.unique(pair, axis=0, return_index=True, return_counts=True)
-    columns = [pair[first, 0], pair[first, 1], least[first].astype(np.int64), count]
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b", "need", "got"])
+    """Pairs of classes of different components that may link, with the matches they need. Rows sorted by lead, at, h, n, c: for each lead
+    its classes with marks (at 0), then its runs (at 1). A pair whose marks tell that it is not near enough makes no row."""
+    lead, at, h, c, n, level, asked, root, marks = table
+    group = np.cumsum(np.concatenate([[0], (lead[1:] != lead[:-1]).astype(np.int64)]))
+    # Classes are numbered in each group; the first row of each has its marks.
+    order = np.lexsort((at, c, group))
+    fresh = np.concatenate([[True], (c[order][1:] != c[order][:-1]) | (group[order][1:] != group[order][:-1])])
+    number = np.zeros(len(c), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    firsts = order[fresh]
+    held = _Marks(marks[firsts])
+    rows = np.flatnonzero(at == 1)
+    h, n, level, root, group, number = h[rows], n[rows].astype(np.int64), level[rows], root[rows], group[rows], number[rows]
+    wants, class_of, size_of = asked[rows], c[firsts], table[4][firsts].astype(np.int64)
+    asked_of = np.zeros(len(firsts), np.int64)
+    asked_of[number] = wants
+    # Longer partners of a row in its run: up to n * 100 / percent.
+    run = np.cumsum(np.concatenate([[0], ((h[1:] != h[:-1]) | (group[1:] != group[:-1])).astype(np.int64)]))
+    count = np.searchsorted((run << 32) | n, (run << 32) | (100 * n // percent), side="right") - np.arange(len(h)) - 1
+    by_class = np.argsort(number, kind="stable")
+    by_class = by_class[count[by_class] > 0]
+    owner, total = number[by_class], np.cumsum(count[by_class])
+    start = 0
+    while start < len(by_class):
+        stop = max(int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIR_ROWS, side="right")), start + 1)
+        if stop < len(by_class):
+            # All rows of a class together, unless they are too many.
+            whole = int(np.searchsorted(owner, owner[stop]))
+            stop = whole if whole > start else stop
+        some = by_class[start:stop]
+        many = count[some]
+        i = np.repeat(some, many)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+        good = (root[i] != root[j]) & (np.maximum(level[i], level[j]) <= np.minimum(wants[i], wants[j]))
+        pair, got = np.unique(number[i[good]] << 32 | number[j[good]], return_counts=True)
+        x, y = pair >> 32, pair & ((1 << 32) - 1)
+        # Two sets that link differ in at most this share of their sizes.
+        near = (100 + percent) * held.differ(x, y) <= (100 - percent) * (size_of[x] + size_of[y])
+        x, y, got = x[near], y[near], got[near]
+        if len(x):
+            one, two = class_of[x], class_of[y]
+            columns = [np.minimum(one, two), np.maximum(one, two), np.minimum(asked_of[x], asked_of[y]), got]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], ["a", "b", "need", "got"])
+        start = stop
 
 
 def _sets(words: int):
-    """Sets of rows whose class is compared, for mapInArrow over (c, text)."""
+    """Sets of rows whose class is compared, with their marks, for mapInArrow over (c, text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,13 +312,32 @@ def _sets(words: int):
 def _set_batch(batch, keys, values):
     offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
-    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), lists], ["c", "shingles"])
+    marks = pa.array([marks_of(v.view(np.uint64)) for v in values], pa.binary())
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), lists, marks], ["c", "shingles", "marks"])
 
 
 def _rooted(shared: DataFrame, found: DataFrame) -> DataFrame:
     return shared.join(found.withColumnRenamed("node", "c"), "c", "left").select("h", "c", "n", "level", "l", F.coalesce("root", "c").alias("root"))
 
 
+def _crossing(shared: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, need, got): pairs of classes of different components that share got prefix shingles and may be near enough.
+
+    Only an h that several components have counts, and a class with as many of those as one of its partners asks for.
+    """
+    run, own = W.partitionBy("h"), W.partitionBy("c")
+    roots = found.select(F.col("node").alias("c"), F.col("root").alias("joined"))
+    rows = shared.join(roots, "c", "left").withColumn("root", F.coalesce("joined", "c"))
+    rows = rows.withColumns({"low": F.min("root").over(run), "high": F.max("root").over(run), "lead": F.min("c").over(run)}).where("low < high")
+    rows = rows.withColumns({"got": F.count("*").over(own), "need": F.min("least").over(own)}).where("got >= need")
+    rows = kept(rows.select("lead", "h", "c", "n", "level", "l", "root"), "jaccard-runs")
+    led = rows.groupBy("lead", "c").agg(F.max("n").alias("n")).join(sets.select("c", "marks"), "c")
+    led = led.selectExpr("lead", "0S AS at", "0L AS h", "c", "n", "0S AS level", "0S AS l", "0L AS root", "marks")
+    runs = rows.selectExpr("lead", "1S AS at", "h", "c", "n", "level", "l", "root", "X'' AS marks")
+    both = led.unionByName(runs).repartition("lead").sortWithinPartitions("lead", "at", "h", "n", "c")
+    return both.mapInArrow(_by_run(_cross, percent), "a long, b long, need long, got long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose likeness reaches the percentage, compared exactly."""
     one = sets.select(F.col("c").alias("a"), F.col("shingles").alias("x"))
@@ -299,7 +376,7 @@ def near_duplicates(
     compared = shared.groupBy("c").agg(F.count("*").alias("got"), F.min("least").alias("need")).where("got >= need").select("c")
     chosen = described.join(compared, "c").groupBy("c").agg(F.min(F.struct("key", "t")).alias("row")).select("c", "row.*")
     texts = marked.join(chosen.withColumnsRenamed({"key": "chosen"}), "t").where(F.col("key").eqNullSafe(F.col("chosen"))).dropDuplicates(["t"])
-    sets = kept(texts.select("c", "text").mapInArrow(_sets(words), "c long, shingles array<long>"), "jaccard-sets")
+    sets = kept(texts.select("c", "text").mapInArrow(_sets(words), "c long, shingles array<long>, marks binary"), "jaccard-sets")
     nothing = docs.sparkSession.createDataFrame([], "a long, b long")
     links = tried = nothing
     found = components(links)
@@ -320,9 +397,7 @@ def near_duplicates(
             found = components(links)
         if n_new * 10 <= n_tried:
             break
-    crossing = _rooted(shared, found).repartition("h").sortWithinPartitions("h", "n", "c")
-    crossing = crossing.mapInArrow(_by_run(_cross, percent), "a long, b long, need long, got long")
-    rest = crossing.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("got").alias("got")).where("got >= need").select("a", "b")
+    rest = _crossing(shared, found, sets, percent).groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("got").alias("got")).where("got >= need").select("a", "b")
     more = kept(_verified(rest.join(tried, ["a", "b"], "left_anti"), sets, percent), "jaccard-links")
     found = components(links.unionByName(more))
 

@@ -94,3 +94,45 @@ def test_words_that_weak_hashes_confuse(spark):
     t, u = ("".join(x[b] for b in bits) for x in ("ab", "ba"))
     df = spark.createDataFrame([(1, f"{t} x y z"), (2, f"{u} x y z"), (3, f"{t} x y z")], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in jj.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_marks_never_differ_more_than_sets():
+    """Of sets of any sizes, by as many bits as both have; and they tell nearly all sets apart that are not near."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 5, 60, 200, 300, 900, 30000):
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        sets += [np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 63, k).astype(np.uint64)])) for k in (0, n // 50, n // 10, n // 7, n // 3, n)]
+    marks = jj._Marks(np.array([jj.marks_of(x) for x in sets], object))
+    x, y = (v.ravel() for v in np.indices((len(sets), len(sets))))
+    least = marks.differ(x, y)
+    apart = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(x, y, strict=True)])
+    sizes = np.array([len(sets[i]) + len(sets[j]) for i, j in zip(x, y, strict=True)])
+    assert (least <= apart).all() and not least[x == y].any()
+    n = np.array([len(s) for s in sets])
+    far = (9 * apart > 1.3 * sizes) & (np.minimum(x, y) >= 12) & (100 * np.minimum(n[x], n[y]) >= 80 * np.maximum(n[x], n[y]))
+    assert far.sum() >= 90 and (9 * least > sizes)[far].all()
+
+
+def test_groups_that_never_join_make_few_rows(spark, monkeypatch):
+    """Copies of one text that are not quite near enough share prefix shingles, yet their pairs make no rows; those that link are found."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    frame, rows = [word() for _ in range(130)], []
+    for k in range(60):
+        own = list(frame)
+        for at in rng.sample(range(18), 2):
+            own[7 * at + 3] = word()
+        rows.append((k, " ".join(own)))
+    rows += [(200 + k, rows[k][1].rsplit(" ", 1)[0] + " " + word()) for k in range(3)]
+    made, plain = [], jj._crossing
+
+    def crossing(*x):
+        made.append(plain(*x).count())
+        return plain(*x)
+
+    monkeypatch.setattr(jj, "_crossing", crossing)
+    got = sorted((tuple(r) for r in jj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    want = brute(rows)
+    assert got == want
+    assert len({w[2] for w in want}) > 20 and made[0] < 500, (len({w[2] for w in want}), made)
