@@ -8,6 +8,7 @@ Components come in steps, so that a group of copies is not expanded into its pai
 other components, as long as that finds links; then all pairs that share enough prefix shingles are verified if they are not
 in one component yet. No link is lost: a pair that links is verified, or its classes are in one component already.
 
+Before the last step a few pairs of each class that may link are verified, so that large groups are joined and make no more rows.
 Members of a group that are not near enough never join, so the last step meets their pairs. It looks at the marks of both sets, one bit of
 parity per hash value, before it makes a row of a pair: sets whose marks differ in n bits differ in n shingles at least. Runs that have the
 same least class are worked on together, so that marks travel a few times per class, and a pair is looked at once for all these runs.
@@ -243,9 +244,10 @@ def _neighbours(table: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c[i]), pa.array(c[j]), pa.array(need, pa.int16())], ["c", "other", "need"])
 
 
-def _cross(table: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
+def _cross(table: list[np.ndarray], percent: int, few: int | None = None) -> Iterator[pa.RecordBatch]:
     """Pairs of classes of different components that may link, with the matches they need. Rows sorted by lead, at, h, n, c: for each lead
-    its classes with marks (at 0), then its runs (at 1). A pair whose marks tell that it is not near enough makes no row."""
+    its classes with marks (at 0), then its runs (at 1). A pair whose marks tell that it is not near enough makes no row. few: so many
+    pairs of a class at most, drawn by a hash."""
     lead, at, h, c, n, level, asked, root, marks = table
     group = np.cumsum(np.concatenate([[0], (lead[1:] != lead[:-1]).astype(np.int64)]))
     # Classes are numbered in each group; the first row of each has its marks.
@@ -283,6 +285,11 @@ def _cross(table: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
         # Two sets that link differ in at most this share of their sizes.
         near = (100 + percent) * held.differ(x, y) <= (100 - percent) * (size_of[x] + size_of[y])
         x, y, got = x[near], y[near], got[near]
+        if few is not None and len(x):
+            order = np.lexsort((mix(class_of[x].view(np.uint64) + mix(class_of[y].view(np.uint64))), x))
+            first = np.searchsorted(x[order], x[order])
+            some = order[np.arange(len(x)) - first < few]
+            x, y, got = x[some], y[some], got[some]
         if len(x):
             one, two = class_of[x], class_of[y]
             columns = [np.minimum(one, two), np.maximum(one, two), np.minimum(asked_of[x], asked_of[y]), got]
@@ -320,8 +327,8 @@ def _rooted(shared: DataFrame, found: DataFrame) -> DataFrame:
     return shared.join(found.withColumnRenamed("node", "c"), "c", "left").select("h", "c", "n", "level", "l", F.coalesce("root", "c").alias("root"))
 
 
-def _crossing(shared: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, need, got): pairs of classes of different components that share got prefix shingles and may be near enough.
+def _crossing(shared: DataFrame, found: DataFrame, sets: DataFrame, percent: int, few: int | None = None) -> DataFrame:
+    """(a, b, need, got): pairs of classes of different components that share got prefix shingles and may be near enough. few: so many of a class.
 
     Only an h that several components have counts, and a class with as many of those as one of its partners asks for.
     """
@@ -335,7 +342,7 @@ def _crossing(shared: DataFrame, found: DataFrame, sets: DataFrame, percent: int
     led = led.selectExpr("lead", "0S AS at", "0L AS h", "c", "n", "0S AS level", "0S AS l", "0L AS root", "marks")
     runs = rows.selectExpr("lead", "1S AS at", "h", "c", "n", "level", "l", "root", "X'' AS marks")
     both = led.unionByName(runs).repartition("lead").sortWithinPartitions("lead", "at", "h", "n", "c")
-    return both.mapInArrow(_by_run(_cross, percent), "a long, b long, need long, got long")
+    return both.mapInArrow(_by_run(lambda table, percent: _cross(table, percent, few), percent), "a long, b long, need long, got long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -397,6 +404,13 @@ def near_duplicates(
             found = components(links)
         if n_new * 10 <= n_tried:
             break
+    # Of a large group that links nearly all pairs pass; a few of each class join it before all pairs are asked for.
+    fresh = _crossing(shared, found, sets, percent, PARTNERS).select("a", "b").distinct()
+    fresh = kept(fresh.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    new = kept(_verified(fresh, sets, percent), "jaccard-links")
+    tried, links = tried.unionByName(fresh), links.unionByName(new)
+    if not new.isEmpty():
+        found = components(links)
     rest = _crossing(shared, found, sets, percent).groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("got").alias("got")).where("got >= need").select("a", "b")
     more = kept(_verified(rest.join(tried, ["a", "b"], "left_anti"), sets, percent), "jaccard-links")
     found = components(links.unionByName(more))

@@ -136,3 +136,26 @@ def test_groups_that_never_join_make_few_rows(spark, monkeypatch):
     want = brute(rows)
     assert got == want
     assert len({w[2] for w in want}) > 20 and made[0] < 500, (len({w[2] for w in want}), made)
+
+
+def test_groups_that_link_make_few_rows(spark, monkeypatch):
+    """Nearly all pairs of a group of near copies link; a few of each class join it, so the others make no row."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    frame, rows = [word() for _ in range(300)], []
+    for k in range(60):
+        own = list(frame)
+        for at in rng.sample(range(42), 3):
+            own[7 * at + 3] = word()
+        rows.append((k, " ".join(own)))
+    made, plain = [], jj._crossing
+
+    def crossing(*x):
+        made.append(plain(*x).select("a", "b").distinct().count())
+        return plain(*x)
+
+    monkeypatch.setattr(jj, "_crossing", crossing)
+    monkeypatch.setattr(jj, "TURNS", 0)
+    got = sorted((tuple(r) for r in jj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute(rows) and len({g[2] for g in got}) == 1
+    assert sum(made) < 60 * 59 // 4, made
