@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions.secret_rules import EXTRACTION_PHRASES, LEAST_RUN, RUN, SECRET_RULES, java
 from emberwatch.operators.redaction import CLOSE, NAMED, OPEN, ZERO_WIDTH, replace_spans
+from emberwatch.session import run_dir, written
 
 _TOKEN = r"[A-Za-z0-9+/_=\-]{16,}"
 # Of whole tokens whose length is a multiple of 2 or 4.
@@ -142,9 +143,9 @@ def judge(turns: DataFrame, vault: DataFrame) -> DataFrame:
     inner = F.flatten(F.transform("opened", lambda x: F.transform(tokens(x["plain"]), lambda t: F.struct(x["token"].alias("outer"), t.alias("token")))))
     held = seen.select("conv_id", "turn", F.inline(F.concat(plain, inner)))
     least = F.when(F.rlike("token", F.lit(r"^[0-9a-fA-F]+$")), HEX_BITS).otherwise(TOKEN_BITS)
-    found = entropy(held).where(F.col("entropy") >= least).select("token", F.lit("HIGH_ENTROPY").alias("label"))
-    found = found.unionByName(vault_matches(held, vault).select("token", F.lit("VAULT").alias("label"))).groupBy("token").agg(F.max("label").alias("label"))
-    flags = held.join(found, "token").groupBy(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn")).agg(
+    found = entropy(held).where(F.col("entropy") >= least).select(_digest(), F.lit("HIGH_ENTROPY").alias("label"))
+    found = found.unionByName(vault_tokens(held, vault).select("_token", F.lit("VAULT").alias("label"))).groupBy("_token").agg(F.max("label").alias("label"))
+    flags = held.select("conv_id", "turn", "outer", _digest()).join(found, "_token").groupBy(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn")).agg(
         F.collect_set(F.struct(F.col("outer").alias("token"), "label")).alias("flags")
     )
     whole = seen.join(flags, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn")), "left")
@@ -207,6 +208,55 @@ def gram_rows(rows: DataFrame, text: str, k: int) -> DataFrame:
     return pieces.select(*rest, F.explode(F.array_distinct(each)).alias("gram"))
 
 
+def _digest() -> Column:
+    """SHA-256 of a token, which stands for it where rows are many."""
+    return F.unhex(F.sha2("token", 256)).alias("_token")
+
+
+def _digested(token_rows: DataFrame) -> DataFrame:
+    """(token, _token): distinct tokens and their digests."""
+    return token_rows.select("token").distinct().select("token", _digest())
+
+
+def _entry_grams(vault: DataFrame, k: int) -> DataFrame:
+    """(secret_id, gram, n_grams): distinct grams of each entry."""
+    grams = gram_rows(vault.select("secret_id", "secret"), "secret", k).distinct()
+    return grams.withColumn("n_grams", F.count("*").over(Window.partitionBy("secret_id")).cast("int"))
+
+
+def _joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of grams, always by a shuffle. The planner takes exploded rows for as few as the texts they come from, and would send any number
+    of them through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def _known(tokens_: DataFrame, entry_grams: DataFrame, k: int) -> DataFrame:
+    """(gram, _token): distinct grams of tokens that an entry has."""
+    grams = gram_rows(tokens_.select("_token", "token"), "token", k)
+    return _joined(grams, entry_grams.select("gram").distinct(), "gram", "left_semi").distinct()
+
+
+def _near_enough(candidates: DataFrame, entry_grams: DataFrame, known: DataFrame, min_share: float) -> DataFrame:
+    """(_token, secret_id, n_grams, n_shared) of the candidates (_token, secret_id) that share enough grams, all counted."""
+    shared = _joined(_joined(candidates, entry_grams, "secret_id"), known, ["_token", "gram"])
+    shared = shared.groupBy("_token", "secret_id", "n_grams").agg(F.count("*").alias("n_shared"))
+    return shared.filter(F.col("n_shared") >= F.lit(min_share) * F.col("n_grams"))
+
+
+def _matches(tokens_: DataFrame, vault: DataFrame, k: int, min_share: float) -> DataFrame:
+    entry_grams = _entry_grams(vault, k)
+    known = _known(tokens_, entry_grams, k)
+    common = known.groupBy("gram").agg(F.count("*").alias("_common"))
+    n_grams = Window.partitionBy("secret_id")
+    ranked = _joined(entry_grams, common, "gram").withColumn("_rank", F.row_number().over(n_grams.orderBy("_common", "gram")))
+    # Grams that no token has come first; those in hand follow them.
+    absent = F.col("n_grams") - F.count("*").over(n_grams)
+    need = F.greatest(F.ceil(F.lit(min_share) * F.col("n_grams")).cast("int"), F.lit(1))
+    rare = ranked.withColumn("_absent", absent).where(F.col("_rank") + F.col("_absent") <= F.col("n_grams") - need + 1)
+    candidates = _joined(known, rare.select("gram", "secret_id"), "gram").select("_token", "secret_id").distinct()
+    return _near_enough(candidates, entry_grams, known, min_share)
+
+
 def vault_matches(token_rows: DataFrame, vault: DataFrame, k: int = 8, min_share: float = 0.5) -> DataFrame:
     """Distinct tokens sharing at least ``min_share`` of a vault entry's k-grams.
 
@@ -214,20 +264,24 @@ def vault_matches(token_rows: DataFrame, vault: DataFrame, k: int = 8, min_share
     shares need = max(1, ceil(min_share * n)), so one of any n - need + 1 of them: the rarest among the tokens make candidates, and only
     these are counted in full. A gram that all tokens and entries share makes none, unless an entry has too few others.
     """
-    tokens_ = token_rows.select("token").distinct().withColumn("_token", F.sha2("token", 256))
-    entry_grams = gram_rows(vault.select("secret_id", "secret"), "secret", k).distinct()
-    n_grams = Window.partitionBy("secret_id")
-    entry_grams = entry_grams.withColumn("n_grams", F.count("*").over(n_grams).cast("int"))
-    known = gram_rows(tokens_.select("_token", "token"), "token", k).join(entry_grams.select("gram").distinct(), "gram", "left_semi")
-    known = known.distinct()
-    common = known.groupBy("gram").agg(F.count("*").alias("_common"))
-    ranked = entry_grams.join(common, "gram").withColumn("_rank", F.row_number().over(n_grams.orderBy("_common", "gram")))
-    # Grams that no token has come first; those in hand follow them.
-    absent = F.col("n_grams") - F.count("*").over(n_grams)
-    need = F.greatest(F.ceil(F.lit(min_share) * F.col("n_grams")).cast("int"), F.lit(1))
-    rare = ranked.withColumn("_absent", absent).where(F.col("_rank") + F.col("_absent") <= F.col("n_grams") - need + 1)
-    candidates = known.join(rare.select("gram", "secret_id"), "gram").select("_token", "secret_id").distinct()
-    asked = candidates.join(entry_grams, "secret_id")
-    shared = asked.join(known, ["_token", "gram"]).groupBy("_token", "secret_id", "n_grams").agg(F.count("*").alias("n_shared"))
-    found = shared.filter(F.col("n_shared") >= F.lit(min_share) * F.col("n_grams"))
-    return found.join(tokens_, "_token").select("token", "secret_id", "n_grams", "n_shared")
+    tokens_ = _digested(token_rows)
+    found = _matches(tokens_, vault, k, min_share)
+    return _joined(found, tokens_, "_token").select("token", "secret_id", "n_grams", "n_shared")
+
+
+def vault_tokens(token_rows: DataFrame, vault: DataFrame, k: int = 8, min_share: float = 0.5) -> DataFrame:
+    """``_token``, the SHA-256 of each distinct token that ``vault_matches`` some entry, once.
+
+    Entries that are alike match each other's tokens, so pairs grow with the square of a group. Each token is counted against one entry
+    first, one that has its rarest gram, and only those that fail this meet all their candidates.
+    """
+    tokens_, entry_grams = _digested(token_rows), _entry_grams(vault, k)
+    known = _known(tokens_, entry_grams, k)
+    owners = entry_grams.groupBy("gram").agg(F.count("*").alias("_entries"), F.min("secret_id").alias("secret_id"))
+    rarest = F.min_by("secret_id", F.struct("_entries", "gram")).alias("secret_id")
+    near = _joined(known, owners, "gram").groupBy("_token").agg(rarest)
+    first = _near_enough(near, entry_grams, known, min_share).select("_token")
+    # Digests only are written; what is left starts from them, not from the steps that found them.
+    first = written(first, run_dir(token_rows.sparkSession, "vault-tokens"))
+    rest = _joined(tokens_, first, "_token", "left_anti")
+    return first.unionByName(_matches(rest, vault, k, min_share).select("_token").distinct())

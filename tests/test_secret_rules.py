@@ -1,5 +1,6 @@
 """Rules in both dialects, their time on long texts, what redaction leaves, and the vault index."""
 
+import hashlib
 import random
 import re
 import time
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from test_decision import MAIL, SECRET, forms
 
 from emberwatch.functions.secret_rules import EXTRACTION_PHRASES, SECRET_RULES, re2, re2_replacement
+from emberwatch.operators import secrets as secret_operators
 from emberwatch.operators.redaction import CLOSE, NAMED, OPEN, marked_spans, replaced, shown_places
-from emberwatch.operators.secrets import gram_rows, has_phrase, judge, redact, rule_counts, rule_hits, vault_matches
+from emberwatch.operators.secrets import gram_rows, has_phrase, judge, redact, rule_counts, rule_hits, vault_matches, vault_tokens
 
 
 def test_each_rule_finds_its_example(spark):
@@ -108,6 +110,33 @@ def test_vault_against_all_pairs(spark):
         assert got == want and len(want) > 50
 
 
+def test_tokens_of_alike_entries_meet_one_entry(spark, monkeypatch):
+    """Whether a token matches is told without its pairs with every entry that is alike; the pairs themselves are the same."""
+    rng = random.Random(7)
+    secrets = [(k, f"horse-battery-{k:05d}-staple") for k in range(300)] + [(None, "of nobody at all"), (900, None), (901, "short"), (902, "0123456789abcdef")]
+    tokens = [f"horse-battery-{k:05d}-stap" for k in range(0, 600, 2)] + ["0123456789abcdefgh", "of nobody at all", "89abcdef01234567"]
+    tokens += ["".join(rng.choice("abcdef") for _ in range(30)) for _ in range(20)] + tokens[:9]
+    df, vault = spark.createDataFrame([(t,) for t in tokens], "token string"), spark.createDataFrame(secrets, "secret_id long, secret string")
+    pairs = vault_matches(df, vault)
+    left, matches = [], secret_operators._matches
+    monkeypatch.setattr(secret_operators, "_matches", lambda rest, *more: left.extend(r.token for r in rest.select("token").collect()) or matches(rest, *more))
+    got = [bytes(r[0]).hex() for r in vault_tokens(df, vault).collect()]
+    want = {r.token for r in pairs.collect()}
+    assert sorted(got) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in want) and len(want) > 150
+    # Tokens of the group whose own entry is there are settled by it.
+    assert not {f"horse-battery-{k:05d}-stap" for k in range(0, 300, 2)} & set(left)
+
+
+def test_grams_stay_out_of_the_driver(spark):
+    """The planner takes exploded grams for small, whatever their number; no join of them sends a side through the driver."""
+    secrets = [(k, f"{k:08d}" * 400) for k in range(20)]
+    vault, df = spark.createDataFrame(secrets, "secret_id long, secret string"), spark.createDataFrame([(s,) for _, s in secrets], "token string")
+    for found in (vault_matches(df, vault), vault_tokens(df, vault)):
+        assert len(found.collect()) >= 20
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+
+
 def test_grams_of_a_very_long_token(spark):
     df = spark.createDataFrame([(1, "x" * 5000 + "y" + "x" * 5000), (2, "abc"), (3, None)], "k long, t string")
     got = {(r.k, r.gram) for r in gram_rows(df, "t", 8).collect()}
